@@ -1,11 +1,14 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from timeloom.llm import chat, quality_rules, url_filters
+from timeloom.llm import chat, language_id, lm_scoring, quality_classifier, quality_rules, url_filters
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+    "op6_language_id": language_id.op6_language_id,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
 }
 SQL = {
     "op1_chat_formatting": chat.OP1_SQL,
