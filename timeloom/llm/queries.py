@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from timeloom.llm import chat, language_id, lm_scoring, quality_classifier, quality_rules, url_filters
+from timeloom.llm import chat, jaccard_join, language_id, lm_scoring, quality_classifier, quality_rules, url_filters
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op6_language_id": language_id.op6_language_id,
     "op7_url_filters": url_filters.op7_url_filters,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
@@ -13,5 +14,6 @@ QUERIES = {
 SQL = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op7_url_filters": url_filters.OP7_SQL,
 }
