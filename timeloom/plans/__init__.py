@@ -1,0 +1,4 @@
+from timeloom.plans import interval_queries, quality_queries  # noqa: F401  they register their queries
+from timeloom.plans.catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
