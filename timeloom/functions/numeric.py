@@ -54,7 +54,8 @@ def duration_policy(source: Column, output: Column) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """Within bounds; null stays null (least and greatest alone would pass it over)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def soft_upper_penalty(value: Column, preferred: float, hard: float, most: float) -> Column:

@@ -72,7 +72,7 @@ def confidence(value: Column) -> Column:
     found = F.regexp_extract(v, "(-?\\d+(?:\\.\\d+)?)", 1)
     number = F.when(found != "", found.cast("double"))
     scaled = F.when(v.contains("%") | (number > 1), number / 100).otherwise(number)
-    return F.coalesce(word.cast("double"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
+    return F.coalesce(word.cast("double"), F.when(scaled.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))))
 
 
 def safe_id(value: Column) -> Column:
