@@ -55,5 +55,6 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes a plan reads; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the bytes a plan reads, without a job; where it has none, the bytes of the column ``text``."""
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return guess if guess < 1 << 56 else int(df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
