@@ -143,3 +143,40 @@ def test_manifest_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.select(df.columns).collect())) == rows
     good, bad = tables.check_segments(df.withColumn("duration", F.when(F.col("pos") == 1, 5.0).otherwise(1.0)))
     assert good.count() == 2 and bad.first().reasons == ["duration_mismatch"]
+
+
+def test_kernel_functions():
+    from timeloom.functions import kernel
+
+    assert kernel.lcs(list("abcde"), list("xaxcxe")) == 3 and kernel.lcs([], [1]) == 0
+    assert kernel.balanced('x {"a": "}"} y {"b": {"c": 1}}') == ['{"a": "}"}', '{"b": {"c": 1}}']
+    assert kernel.loose('```json\n{"a": 1,}\n```') == '{"a":1}' and kernel.loose("no") is None
+    assert kernel.repeated_share("ab" * 10) == 1.0 and kernel.repeated_share("abcdefgh") == 0.0
+    assert kernel.numeric_values("３, 2 1") == [3, 2, 1] and kernel.numeric_values("a 1") is None
+
+
+def test_words(spark):
+    from timeloom.operators import words
+
+    df = spark.createDataFrame([([(0.0, 1.0, "a"), (1.1, 2.0, "b"), (5.0, 6.0, "c")],), ([],)], "w array<struct<start: double, end: double, text: string>>")
+    got = df.select(words.split_at_gaps("w", 0.8).alias("p"), words.join_text("w").alias("t")).collect()
+    assert [[w.text for w in p] for p in got[0].p] == [["a", "b"], ["c"]] and got[0].t == "a b c" and got[1].p == []
+
+
+def test_absorb_and_pick(spark):
+    df = spark.createDataFrame([(1, 0.0, 5.0), (1, 5.2, 5.4), (1, 6.0, 9.0), (1, 50.0, 50.1)], "k int, start double, end double")
+    got = [(r.start, r.end, r.n) for r in sequences.absorb_short(df, ["k"], 1.0, 1.0, 20.0).orderBy("start").collect()]
+    assert got == [(0.0, 5.4, 2), (6.0, 9.0, 1), (50.0, 50.1, 1)]
+    df = spark.createDataFrame([(1, 1, 0.0, 5.0, 1.0), (1, 2, 4.0, 6.0, 2.0), (1, 3, 6.0, 7.0, 0.5)], "k int, i int, start double, end double, s double")
+    assert sorted(r.i for r in sequences.pick_apart(df, ["k"], "s", "i", 2).collect()) == [2, 3]
+
+
+def test_streaming_counts(spark, tmp_path):
+    from timeloom.streaming import attempts
+
+    spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "b")], "ts string, event_type string").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in"))
+    q = attempts.windowed_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.event_type, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]

@@ -79,3 +79,43 @@ def limit_batches(df: DataFrame, keys: list[str], order: list[str], most_rows: i
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = "row_id", form: str = "seg_%04d") -> DataFrame:
     return df.withColumn(out, F.format_string(form, F.row_number().over(W.partitionBy(*keys).orderBy(*order))))
+
+
+def absorb_short(df: DataFrame, keys: list[str], least: float, most_gap: float, most_span: float) -> DataFrame:
+    """Intervals (start, end) shorter than ``least`` join the nearer neighbour (of equal ones the left) if gap and joined span allow, again and again.
+
+    Returns keys, start, end and n (rows joined). Mutates step by step, so one key is one task.
+    """
+    head = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [[r.start, r.end, 1] for r in pdf.sort_values(["start", "end"], kind="stable").itertuples()]
+        i = 0
+        while i < len(rows):
+            s, e, n = rows[i]
+            if e - s < least:
+                left = s - rows[i - 1][1] if i and e - rows[i - 1][0] <= most_span else float("inf")
+                right = rows[i + 1][0] - e if i + 1 < len(rows) and rows[i + 1][1] - s <= most_span else float("inf")
+                if min(left, right) <= most_gap:
+                    j = i - 1 if left <= right else i
+                    rows[j : j + 2] = [[rows[j][0], max(rows[j][1], rows[j + 1][1]), rows[j][2] + rows[j + 1][2]]]
+                    i = j
+                    continue
+            i += 1
+        out = pd.DataFrame(rows, columns=["start", "end", "n"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "start", "end", "n"]]
+
+    return df.groupBy(*keys).applyInPandas(run, f"{head}, start {df.schema['start'].dataType.simpleString()}, end {df.schema['end'].dataType.simpleString()}, n bigint")
+
+
+def pick_apart(df: DataFrame, keys: list[str], score: str, ident: str, k: int) -> DataFrame:
+    """At most ``k`` intervals (start, end) of each key, best score first (of equal ones the smaller id), none overlapping one picked before."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list = []
+        for r in pdf.sort_values([score, ident], ascending=[False, True], kind="stable").itertuples():
+            if len(kept) < k and all(r.end <= o.start or r.start >= o.end for o in kept):
+                kept.append(r)
+        return pdf.loc[[r.Index for r in kept]]
+
+    return df.groupBy(*keys).applyInPandas(run, df.schema)
