@@ -28,7 +28,7 @@ RULES = (
     ("word_length", 2.0, 12.0),
     ("symbol_ratio", None, 0.1),
     ("stop_word_ratio", 0.02, None),
-    ("dup_line_ratio", None, 0.3),
+    ("dup_line_ratio", None, 0.5),
     ("capital_ratio", None, 0.5),
     ("pipe_ratio", None, 0.2),
     ("exclaim_ratio", None, 0.3),
@@ -135,7 +135,7 @@ WITH d AS (
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(word_chars / nullif(n_words, 0), 0) BETWEEN 2 AND 12 AND coalesce(n_symbols / nullif(n_words, 0), 0) <= 0.1
-  AND coalesce(n_stop / nullif(n_words, 0), 0) >= 0.02 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.3
+  AND coalesce(n_stop / nullif(n_words, 0), 0) >= 0.02 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5
   AND coalesce(n_capitals / nullif(n_letters, 0), 0) <= 0.5 AND coalesce(n_pipes / nullif(n_words, 0), 0) <= 0.2
   AND coalesce(n_exclaims / nullif(n_words, 0), 0) <= 0.3 AND coalesce(n_kinds / nullif(n_words, 0), 0) >= 0.05 AS kept
 FROM b
