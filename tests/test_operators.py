@@ -180,3 +180,30 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.event_type, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_gates(spark, tmp_path):
+    from timeloom.operators import gates
+
+    assert one(spark, gates.pattern_hits(F.col("t"), ["a+", "((", "z"]), t="xaa((") == ["a+", "(("]
+    df = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    policy = spark.createDataFrame([(1, True), (2, True), (2, False), (3, None)], "k int, allowed boolean")
+    assert [r.k for r in gates.policy_gate(df, policy, "k").collect()] == [1]
+    with pytest.raises(PermissionError):
+        gates.policy_gate(df, None, "k")
+    assert gates.inside(str(tmp_path), "a/../b").endswith("b")
+    with pytest.raises(ValueError):
+        gates.inside(str(tmp_path), "../x")
+    d = one(spark, gates.decide([(F.col("a") > 1, "x", "s")], F.col("n"), 3), a=2, n=3)
+    assert (d.action, d.stage, d.terminal) == ("manual_review", None, True)
+
+
+def test_more_text_and_numbers(spark):
+    for t, want in (("(1.5秒)", 1.5), ("800ms", 0.8), ("pause", 0.4)):
+        assert one(spark, text.pause_seconds(F.col("t"), 0.4), t=t) == want
+    assert one(spark, text.kana_count(F.col("t")), t="きゃっとー x") == 4
+    assert one(spark, text.safe_name(F.col("t")), t="..a b/c") == "a_b_c"
+    assert [one(spark, text.truncated(F.col("t")), t=t) for t in ("ok.", "cut", "open (x.", "")] == [False, True, True, False]
+    for tempo in (0.1, 0.5, 1.3, 2.0, 7.0):
+        steps = one(spark, numeric.tempo_steps(F.col("v")), v=tempo)
+        assert all(0.5 - 1e-9 <= s <= 2 + 1e-9 for s in steps) and math.isclose(math.prod(steps), tempo)

@@ -73,3 +73,21 @@ def norm(vector: Column | str) -> Column:
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def char_budget(seconds: Column, source_chars: Column, per_second: float = 4.0) -> Column:
+    """Characters that fit: those of the source if known, else a rate; at least 1."""
+    return F.greatest(F.lit(1), F.coalesce(F.when(source_chars > 0, source_chars), F.floor(seconds * per_second))).cast("int")
+
+
+def next_speed(speed: Column, actual: Column, target: Column, most: float = 2.0, step: float = 0.05) -> Column:
+    """The speed for another try: scaled by how far the last one was off, at least one step up when it was too long, 4 digits."""
+    scaled = speed * F.coalesce(F.try_divide(actual, F.when(target > 0, target)), F.lit(1.0))
+    return F.round(clamp(F.when(actual > target, F.greatest(scaled, speed + step)).otherwise(scaled), 0.5, most), 4)
+
+
+def tempo_steps(tempo: Column) -> Column:
+    """A tempo as a product of factors within 0.5 and 2, as few as possible: full halvings or doublings first."""
+    n = F.when(tempo > 2, F.floor(F.log2(tempo / 2) + 0.9999999)).when(tempo < 0.5, F.floor(F.log2(0.5 / tempo) + 0.9999999)).otherwise(0).cast("int")
+    whole = F.when(tempo > 2, 2.0).otherwise(0.5)
+    return F.concat(F.array_repeat(whole, n), F.array(tempo / F.pow(whole, n)))

@@ -84,3 +84,33 @@ def natural_key(value: Column, width: int = 12) -> Column:
     """A sort key under which digit runs compare as numbers."""
     parts = F.regexp_extract_all(value, F.lit("(\\d+|\\D+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.when(F.regexp_like(p, F.lit("^\\d")), F.lpad(F.regexp_replace(p, "^0+(?=\\d)", ""), width, "0")).otherwise(F.lower(p))), "")
+
+
+def pause_seconds(text: Column, default: float) -> Column:
+    """Seconds from forms like ``1.5s``, ``800ms`` or ``2 sec``; else the default."""
+    low = F.lower(text)
+    ms, sec = F.regexp_extract(low, "(\\d+(?:\\.\\d+)?)\\s*ms", 1), F.regexp_extract(low, "(\\d+(?:\\.\\d+)?)\\s*(?:s\\b|sec|秒)", 1)
+    return F.when(ms != "", F.try_to_number(ms, F.lit("999999.999")).cast("double") / 1000).when(sec != "", F.try_to_number(sec, F.lit("999999.999")).cast("double")).otherwise(F.lit(default))
+
+
+def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """An ordered chain of regular expressions."""
+    return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
+
+
+def truncated(text: Column) -> Column:
+    """Ends in the middle: no closing mark, or an open bracket or quote."""
+    t = strip(text)
+    open_bracket = F.length(F.regexp_replace(t, "[^(\\[{（「『]", "")) > F.length(F.regexp_replace(t, "[^)\\]}）」』]", ""))
+    return (t != "") & (~F.regexp_like(t, F.lit("[.!?。！？…)\\]}」』\"']$")) | open_bracket)
+
+
+def kana_count(text: Column) -> Column:
+    """Beats of kana: small vowels and glides do not count by themselves, long marks and stops do."""
+    return F.length(F.regexp_replace(F.regexp_replace(text, "[^\\u3041-\\u3096\\u30A1-\\u30FA\\u30FC]", ""), "[ぁぃぅぇぉゃゅょゎァィゥェォャュョヮ]", ""))
+
+
+def safe_name(value: Column) -> Column:
+    """Usable in a file name: other characters become single underscores; ``unnamed`` if nothing is left."""
+    t = F.regexp_replace(F.regexp_replace(value, "[^\\p{L}\\p{N}._-]+", "_"), "^[._]+|[._]+$", "")
+    return F.when(t == "", "unnamed").otherwise(t)
