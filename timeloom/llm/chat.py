@@ -105,13 +105,14 @@ def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
     # up: the ancestor 2^k steps above, null beyond the root; n and total: messages and score from here to below it
     at = stage(known.select("m.tree", "m.node", F.col("p.node").alias("up"), F.lit(1).cast("long").alias("n"), F.col("m.score").alias("total")), "chat-up")
     leaves = ids.alias("m").join(at.alias("c"), tree("m", "c") & (F.col("m.node") == F.col("c.up")), "left_anti")
+    done, going = at.where(F.col("up").isNull()), at.where(F.col("up").isNotNull())
     jumps, limit = [], max(1, at.count()).bit_length() + 1
-    while at.where(F.col("up").isNotNull()).limit(1).count() and len(jumps) < limit:
-        jumps.append(at)
-        both = at.alias("a").join(at.alias("b"), tree("a", "b") & (F.col("a.up") == F.col("b.node")), "left")
-        add = lambda c: F.col(f"a.{c}") + F.coalesce(f"b.{c}", F.lit(0))
-        at = stage(both.select("a.tree", "a.node", F.col("b.up").alias("up"), add("n").alias("n"), add("total").alias("total")), "chat-up")
-    done = at.where(F.col("up").isNull())
+    while going.limit(1).count() and len(jumps) < limit:
+        jumps.append(going)
+        # only messages that have not reached their root are joined again
+        both = going.alias("a").join(going.unionByName(done).alias("b"), tree("a", "b") & (F.col("a.up") == F.col("b.node")))
+        at = stage(both.select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.n") + F.col("b.n")).alias("n"), (F.col("a.total") + F.col("b.total")).alias("total")), "chat-up")
+        done, going = done.unionByName(at.where(F.col("up").isNull())), at.where(F.col("up").isNotNull())
     ranked = (
         leaves.alias("l")
         .join(done.alias("d"), tree("l", "d") & (F.col("l.node") == F.col("d.node")))
@@ -124,7 +125,7 @@ def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
     # every distance from the leaf is a sum of distinct powers of two, so each round at most doubles what has been reached
     path = ranked.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))
     for k in reversed(range(len(jumps))):
-        hop = path.alias("p").join(jumps[k].alias("j"), tree("p", "j") & (F.col("p.node") == F.col("j.node")) & F.col("j.up").isNotNull())
+        hop = path.alias("p").join(jumps[k].alias("j"), tree("p", "j") & (F.col("p.node") == F.col("j.node")))
         path = path.unionByName(hop.select("p.tree", "p.leaf", F.col("j.up").alias("node"), (F.col("p.above") + (1 << k)).alias("above")))
         if k % 2 == 0:
             path = stage(path, "chat-path")
