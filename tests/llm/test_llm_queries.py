@@ -161,7 +161,7 @@ def near_copies(seed, bases=12, size=120):
     return list(enumerate(docs, 3))
 
 
-@pytest.mark.parametrize("seed, few", [(1, 64), (2, 2)])
+@pytest.mark.parametrize("seed, few", [(1, 128), (2, 2)])
 def test_jaccard_join_is_exact(spark, seed, few, monkeypatch):
     """few = 2: nearly all meetings go by way of the n-gram's own node."""
     monkeypatch.setattr(jaccard_join, "FEW", few)

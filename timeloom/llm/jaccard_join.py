@@ -3,8 +3,8 @@
 A document's set holds the 63-bit hashes of its distinct n-grams, with the top bit set for those that are frequent in the
 corpus; sorted by this number, rare n-grams come first, everywhere in the same order. Documents of the same word sequence are one node.
 
-1. One pass hashes every text and gives each document its node, its size, and the n-grams that repeat within a task;
-   summed, those with a share of at least ``LEAST_SHARE`` of all n-grams are the frequent ones (1/LEAST_SHARE at most).
+1. One pass hashes every text and gives each document its node and size. n-grams of a sample of the nodes are counted to know
+   the frequent ones; at most ``MOST_OFTEN`` are told to all tasks.
 2. A second pass sends each node's prefix, which any similar node's prefix must meet. Nodes that meet in rare n-grams are
    counted by pair, and pairs with fewer common prefix members than similarity implies are out. Nodes that meet in a frequent n-gram
    are tied to the n-gram itself, one edge each, so no group's pairs are written out.
@@ -35,8 +35,10 @@ from timeloom.llm.graph import components
 
 N = 5
 PERCENT = 75
-LEAST_SHARE = 2.0**-19
-FEW = 64  # meetings in an n-gram of so many nodes are counted by pair
+#: N-grams in OFTEN nodes or more of a sample (one node in SAMPLE, by hash) count as frequent: the MOST_OFTEN most frequent of them, which bounds what
+#: is broadcast. This decides the global order only; any order gives the same links.
+SAMPLE, OFTEN, MOST_OFTEN = 8, 6, 1 << 20
+FEW = 128  # meetings in an n-gram of so many nodes are counted by pair
 HOT = np.uint64(1 << 63)
 BLOCK_MEMBERS = 2_000_000
 CACHE = 400_000
@@ -84,48 +86,26 @@ def common_needed(x, y, percent: int):
 
 
 def survey(n: int):
-    """(doc_id, text) to rows of kind 0: doc_id, node, size; kind 1: n-gram (in node), its count in several texts of the task."""
+    """(doc_id, text) to rows of kind 0: doc_id, node, size; kind 1: an n-gram (in node) of a node in the sample, from the half of its set that may come into a prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, seen = WordHash(), set()
-        kept, size = [], 0
-        often: dict[int, int] = {}
-
-        def merge():
-            nonlocal kept, size
-            k, c = np.unique(np.concatenate(kept), return_counts=True)
-            for a, b in zip(k[c > 1].tolist(), c[c > 1].tolist()):
-                often[a] = often.get(a, 0) + b
-            kept, size = [], 0
-
-        def heavy():
-            k = len(often)
-            out = pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(k, np.int32)), "doc_id": pa.nulls(k, pa.int64()), "node": pa.array(list(often), pa.int64()), "n": pa.array(list(often.values()), pa.int64())})
-            often.clear()
-            return out
-
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, halves = [], [], [np.empty(0, np.uint64)]
             for text in batch.column(1):
                 words = words_of(text.as_py())
                 node, s = node_of(words), shingles(words, of, n)
                 nodes.append(node)
                 sizes.append(len(s))
-                if node is not None and node not in seen:
+                if node is not None and node % SAMPLE == 0 and node not in seen:
                     seen.add(node)
-                    kept.append(s)
-                    size += len(s)
-                    if size > 2_000_000:
-                        merge()
+                    halves.append(s[: len(s) // 2 + 1])
             if len(seen) > CACHE:
                 seen.clear()
             k = batch.num_rows
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(k, np.int32)), "doc_id": batch.column(0), "node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int64())})
-            if len(often) > CACHE:
-                yield heavy()
-        if kept:
-            merge()
-        yield heavy()
+            g = np.concatenate(halves).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(g), np.int32)), "doc_id": pa.nulls(len(g), pa.int64()), "node": pa.array(g), "n": pa.nulls(len(g), pa.int64())})
 
     return run
 
@@ -225,23 +205,21 @@ def meetings(percent: int, few: int):
 
 
 def sets_of(shared, n: int):
-    """(text) to (node, members), for the nodes that the sketch may hold; once for each node of a task."""
+    """(hash of doc_id, text) to (node, members), for the documents that the sketch may hold; a null id counts as held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, sketch = shared.value
-        of, seen, mask = WordHash(), set(), len(sketch) * 64 - 1
+        of, mask = WordHash(), len(sketch) * 64 - 1
         for batch in batches:
+            h = np.asarray(batch.column(0)) & mask
+            held = (sketch[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) != 0
             nodes, sets = [], []
-            for text in batch.column(0):
-                words = words_of(text.as_py())
+            for k in np.flatnonzero(held).tolist():
+                words = words_of(batch.column(1)[k].as_py())
                 node = node_of(words)
-                if node is None or node in seen or not (int(sketch[(node & mask) >> 6]) >> (node & 63)) & 1:
-                    continue
-                seen.add(node)
-                nodes.append(node)
-                sets.append(ordered(words, of, hot, n).tobytes())
-            if len(seen) > CACHE:
-                seen.clear()
+                if node is not None:
+                    nodes.append(node)
+                    sets.append(ordered(words, of, hot, n).tobytes())
             yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "members": pa.array(sets, pa.binary())})
 
     return run
@@ -380,8 +358,8 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = stage(d.mapInArrow(survey(n), "kind int, doc_id long, node long, n long"), "jaccard-survey")
     of_doc = seen.where("kind = 0").select("doc_id", "node", "n")
-    total = of_doc.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = seen.where("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= max(float(FEW), LEAST_SHARE * total)).select("node").toArrow()  # at most 1 / LEAST_SHARE rows
+    often = seen.where("kind = 1").groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
+    often = often.orderBy(F.desc("c"), "node").limit(MOST_OFTEN).select("node").toArrow()
     hot = np.sort(np.asarray(often.column("node"), np.int64)).view(np.uint64)
     shared = spark.sparkContext.broadcast(hot)
     sent = d.select("text").mapInArrow(prefixes(shared, n, percent), "gram long, node long, n int, salt int")
@@ -390,23 +368,26 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     need = common_needed_sql(percent)
     least = F.least(*[F.expr(f"{need} - {prefix_rest_sql(k, percent)} + 1") for k in ("na", "nb")])
     edges = met.where(F.col("c").isNull() | (F.col("c") >= least)).select("a", "b")
-    world = components(edges).where("node >= 0").withColumnRenamed("component", "world")  # n-grams have negative numbers
-    world = stage(world, "jaccard-world")
-    k = world.count()
-    bits = max(1 << 12, min(1 << 24, 1 << (16 * k).bit_length()))
-    rows = world.select(F.expr(f"node & {bits - 1}").alias("at")).groupBy(F.expr("at >> 6").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("word")).toArrow()
+    first = stage(of_doc.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "jaccard-first")
+    world = stage(components(edges).where("node >= 0").withColumnRenamed("component", "world").join(first, "node"), "jaccard-world")  # n-grams have negative numbers
+    world = world.join(world.groupBy("world").agg(F.ceil(F.sum("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "world")
+    # a sketch of the first document of each node: only they send their sets
+    bits = max(1 << 12, min(1 << 24, 1 << (32 * world.count()).bit_length()))
+    h = F.xxhash64(F.coalesce("first", F.lit(0)))
+    rows = world.select(h.bitwiseAND(F.lit(bits - 1)).alias("at")).groupBy(F.expr("at >> 6").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("word")).toArrow()
     sketch = np.zeros(bits // 64, np.int64)
     sketch[np.asarray(rows.column("slot"), np.int64)] = np.asarray(rows.column("word"), np.int64)
     shared = spark.sparkContext.broadcast((hot, sketch.view(np.uint64)))
-    sets = stage(d.select("text").mapInArrow(sets_of(shared, n), "node long, members binary").join(world, "node"), "jaccard-sets")
-    size = sets.groupBy("world").agg(F.ceil(F.sum(F.octet_length("members")) / (8 * BLOCK_MEMBERS)).cast("int").alias("blocks"))
-    dealt = sets.join(size, "world").withColumn("x", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(0))
+    sets = d.select(F.xxhash64(F.coalesce("doc_id", F.lit(0))), "text").mapInArrow(sets_of(shared, n), "node long, members binary").join(world.select("node", "world", "blocks"), "node")
+    dealt = sets.withColumn("x", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(0))
     dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = dealt.select("world", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "node", "members")
     links = groups.repartition("world", "lo", "hi").sortWithinPartitions("world", "lo", "hi").mapInArrow(tree_join(percent), "node long, other long")
-    found = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    first = of_doc.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    whole = stage(first.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-nodes")
+    if world.where("blocks > 1").limit(1).count():  # links of a world that was dealt over blocks are still to be put together
+        found = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    else:
+        found = links.select("node", F.col("other").alias("component"))
+    whole = stage(first.drop("n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-nodes")
     smallest = whole.groupBy("component").agg(F.min("first").alias("component_id"))
     names = whole.join(smallest, "component").select("node", "component_id")
     return of_doc.join(names, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
