@@ -5,7 +5,9 @@ number, stays and the others go. It goes too if a class within ``EDITS`` edits h
 
 The edit join splits every line into EDITS + 1 segments. Two lines within EDITS edits share a segment, which begins in the longer one at one of a few
 places (known from the lengths and from the edits that the segments before it can hold). Segments of the one side and substrings of
-the other are hashed with segment number and length, made distinct, and joined. Candidates are verified by a banded bit-parallel
+the other are hashed with segment number and length, made distinct, and joined. For one edit the two segments are aligned with the line's start and end, so
+lines near in length get the same keys, and only keys of two lines or more are joined; a group with many lines is split by finer segments, all but one of which
+must agree. Candidates are verified by a banded bit-parallel
 automaton: for each number of edits, the bits of one machine word are the diagonals of the band, and one fold over the characters
 shifts and ors them. Only DataFrame operations are used.
 
@@ -32,6 +34,10 @@ LEAST_CHARS = 10
 #: Lines at least so long for each segment take part in the edit join; shorter ones match too easily.
 SEGMENT_CHARS = 10
 MOST_BITS = 1 << 24
+#: For one edit: lengths that share keys, the size of a group that is paired at once, and the numbers of regions that part larger ones.
+BUCKET = 16
+FEW = 64
+REGIONS = (16, 128)
 WORD = "[^ \\t-\\r]"
 
 
@@ -104,25 +110,83 @@ def within(a: str, b: str, edits: int) -> Column:
     return inside & (F.call_function("shiftright", last, F.greatest(diagonal, F.lit(0))).bitwiseAND(F.lit(1).cast("long")) != 0)
 
 
+def region_keys(line: Column, regions: int) -> Column:
+    """For one edit: keys of which two lines within it share one. A key is all of the line but one of ``regions`` regions.
+
+    Lines of about the same length share a bucket of lengths, in which regions are cut at the same places from the start, and from the end.
+    An edit lies in one region, so what is before that (from the start) and after it (from the end) is common to both lines.
+    """
+    n = F.length(line).cast("long")
+
+    def keys(bucket: Column) -> Column:
+        least = bucket * BUCKET - 1  # the shortest line in the bucket
+        cut = lambda i: F.floor(least * i / regions).cast("int")
+        key = lambda i: F.xxhash64(bucket, i, F.substring(line, F.lit(1), cut(i)), F.right(line, (least - cut(i + 1)).cast("int")))
+        if regions == 2:
+            return F.array(key(F.lit(0)), key(F.lit(1)))
+        return F.transform(F.sequence(F.lit(0), F.lit(regions - 1)), key)
+
+    own = F.floor(n / BUCKET)
+    next_too = n % BUCKET == BUCKET - 1
+    return F.concat(keys(own), F.when(next_too, keys(own + 1)).otherwise(F.array().cast("array<bigint>")))
+
+
+def sketch_of(keys: DataFrame, key: str) -> DataFrame:
+    """One row with the words of a Bloom filter over a column, of at most MOST_BITS bits."""
+    bits = max(1 << 10, min(MOST_BITS, 1 << (16 * keys.count()).bit_length()))
+    at = keys.select(F.explode(F.array(*spots(F.col(key), 0, F.lit(bits)))).alias("at"))
+    word = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("word"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("slot")).join(word, "slot", "left")
+    return stage(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("word", F.lit(0)).cast("long").alias("word")))), lambda x: x["word"]).alias("words")), "line-sketch")
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """rows(key, h): pairs a < b that share a key."""
+    one, two = rows.select("key", F.col("h").alias("a")), rows.select("key", F.col("h").alias("b"))
+    return one.join(two, "key").where("a < b").select("a", "b").distinct()
+
+
+def candidates_one(long_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) for one edit, and the texts (h, line) of all lines in them.
+
+    Keys that only one line has are found by their least and greatest line and go first. Lines that share a key with up to FEW others make pairs; those
+    in larger groups are cut into more regions, which parts the groups until few lines agree in all but a small region.
+    """
+    keyed_lines = long_lines.withColumn("key", F.explode(region_keys(F.col("line"), 2)))
+    shared = stage(keyed_lines.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key"), "line-shared")
+    hits = keyed_lines.withColumn("_f", sketch_of(shared, "key").scalar()).where(holds(F.col("key"), 0, F.col("_f"))).select("key", "h", "line")
+    rows = stage(hits.groupBy("key", "h").agg(F.first("line").alias("line")).join(shared, "key"), "line-rows")
+    texts = stage(rows.groupBy("h").agg(F.first("line").alias("line")), "line-texts")
+    found, rows = [], rows.select("key", "h")
+    for regions in REGIONS:
+        size = rows.groupBy("key").agg(F.count("h").alias("n"))
+        sized = rows.join(size, "key")
+        found.append(stage(pairs_of(sized.where(F.col("n").between(2, FEW))), "line-pairs"))
+        crowded = stage(sized.where(F.col("n") > FEW).select("h").distinct().join(texts, "h"), "line-crowded")
+        if not crowded.limit(1).count():
+            break
+        rows = stage(crowded.select("h", F.explode(region_keys(F.col("line"), regions)).alias("key")).distinct(), "line-rows")
+    else:
+        found.append(pairs_of(rows))
+    return stage(reduce(DataFrame.unionByName, found).distinct(), "line-candidates"), texts
+
+
+def candidates(long_lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs and texts for any number of edits: segments of the shorter line are looked up as substrings of the longer one."""
+    index = long_lines.select(F.explode(segments(F.col("line"), edits)).alias("key"), F.col("h").alias("a")).distinct()
+    probe = long_lines.select(F.explode(probes(F.col("line"), edits)).alias("key"), F.col("h").alias("b")).distinct()
+    found = stage(index.join(probe, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-candidates")
+    ends = stage(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ends")
+    some = long_lines.withColumn("_f", sketch_of(ends, "h").scalar()).where(holds(F.col("h"), 0, F.col("_f"))).groupBy("h").agg(F.first("line").alias("line"))
+    return found, some.join(ends, "h")
+
+
 def near_lines(lines: DataFrame, classes: DataFrame, edits: int) -> DataFrame:
     """Classes (h) that have a class within ``edits`` edits with an earlier first line."""
-    least = SEGMENT_CHARS * (edits + 1)
-    long_lines = lines.where(F.length("line") >= least).withColumn("h", line_hash(F.col("line")))
-    made = long_lines.select("h", F.explode(F.concat(F.transform(segments(F.col("line"), edits), lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe"))), F.transform(probes(F.col("line"), edits), lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe"))))).alias("x")).select("x.key", "x.probe", "h")
-    rows = made.groupBy("key", "probe", "h").agg(F.lit(1).alias("_"))
-    # a key that one line alone has, on either side, makes no pair
-    found = stage(rows.where("not probe").select("key", F.col("h").alias("a")).join(rows.where("probe").select("key", F.col("h").alias("b")), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-candidates")
-    ends = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    n = ends.count()
-    if not n:
-        return found.select(F.col("a").alias("h")).limit(0)
-    bits = min(MOST_BITS, 1 << (16 * n).bit_length())
-    at = ends.select(F.explode(F.array(*spots(F.col("h"), 0, F.lit(bits)))).alias("at"))
-    word = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("word"))
-    sketch = word.agg(F.map_from_entries(F.collect_list(F.struct("slot", "word"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(bits // 64 - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("words"))
-    sketch = stage(sketch, "line-sketch")
-    some = long_lines.withColumn("_f", sketch.scalar()).where(holds(F.col("h"), 0, F.col("_f"))).groupBy("h").agg(F.first("line").alias("line"))
-    texts = stage(some.join(ends, "h").join(classes, "h").select("h", "first", F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)).alias("chars")), "line-texts")
+    long_lines = lines.where(F.length("line") >= SEGMENT_CHARS * (edits + 1)).select(line_hash(F.col("line")).alias("h"), "line")
+    found, some = candidates_one(long_lines) if edits == 1 else candidates(long_lines, edits)
+    texts = some.join(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h").join(classes, "h")
+    texts = stage(texts.select("h", "first", F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)).alias("chars")), "line-chars")
     a, b = texts.select(*[F.col(c).alias(f"a_{c}") for c in texts.columns]), texts.select(*[F.col(c).alias(f"b_{c}") for c in texts.columns])
     pairs = found.join(a, F.col("a") == F.col("a_h")).join(b, F.col("b") == F.col("b_h")).where(within("a_chars", "b_chars", edits))
     return pairs.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
