@@ -433,6 +433,28 @@ def test_leaks_match_alignment_of_all_pairs(spark, monkeypatch):
     assert len(want) >= 15 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_leaks_of_edited_and_half_copies(spark):
+    """Copies that have lost half of their trigrams or more, alone and beside exact copies."""
+    changes = [
+        lambda t: [f"x{i}" if i % 4 == 3 else w for i, w in enumerate(t)],
+        lambda t: [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(t)],
+        lambda t: t[:31],
+        lambda t: t[29:],
+        lambda t: [x for i, w in enumerate(t) for x in ([w, "y"] if i % 3 == 2 else [w])],
+    ]
+    items, docs, want = [], [], {}
+    for k, change in enumerate(changes * 2):
+        item = [f"w{k}_{i}" for i in range(60)]
+        items.append((k, " ".join(item)))
+        for t in [change(item)] + ([item, item] if k >= len(changes) else []):
+            docs.append((len(docs), " ".join(["a", "b", "c", *t, "d", "e"])))
+            number = {w: i + 1 for i, w in enumerate(decontamination.words_of(items[-1][1]))}
+            ids = np.array([number.get(w, 0) for w in decontamination.words_of(docs[-1][1])])
+            want[docs[-1][0], k] = decontamination.best_local(np.arange(1, 61), ids)[0] / 120
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert min(want.values()) >= 0.5 and got == want
+
+
 def test_leaks_on_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, "two words"), (3, "a b c d e"), (3, "a b c d e")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(odd, items).collect()) == [(5, 3)] * 4 + [(6, 3)] * 2

@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidates, Smith-Waterman alignment scores them.
 
-Words are lower-cased (A-Z), without ASCII punctuation. All word trigrams of the items are counted over all documents; an item's seeds are those no
-more frequent than its median one (so at least half of its trigrams, however often the item has leaked). A document that holds a seed is
-aligned with the item around the seed: word against word, match 2, mismatch -1, gap -1, best local score. The score is divided by that of a
-perfect copy; pairs with at least ``LEAST_SCORE`` are leaks. Edited and partly copied items keep most of the score.
+Words are lower-cased (A-Z), without ASCII punctuation. Every word trigram of an item is a seed, whether or how often it occurs in the documents.
+A document that holds a seed is aligned with the item around its seeds, as far as an alignment of the least score can reach: word against
+word, match 2, mismatch -1, gap -1, best local score. Windows that cannot reach it, because too few of the item's words stand in them, are not
+aligned. The score is divided by that of a perfect copy; pairs with at least ``LEAST_SCORE`` are leaks. Edited and partly copied items keep
+most of the score. So every pair of that score is found that has three successive words in common.
 
 Items are taken in blocks of at most ``BLOCK_WORDS`` words, each of which is broadcast and meets all documents in turn; documents are read
 where they are and nothing of their text is shuffled.
@@ -54,7 +55,7 @@ def best_local(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A block of items: their words numbered from 1, and their trigrams as sorted keys."""
+    """A block of items: their words numbered from 1, and their trigrams as sorted keys with the items and places that hold them."""
 
     def __init__(self, rows: list[tuple[int, list[bytes]]]):
         self.ids = [i for i, _ in rows]
@@ -64,8 +65,10 @@ class Items:
         self.base = len(self.vocabulary) + 1
         found = [(int(k), at, place) for at, ws in enumerate(self.words) for place, k in enumerate(self.keys(ws))]
         found.sort()
-        self.key, self.item, self.place = (np.array([x[k] for x in found], np.int64) for k in range(3))
-        self.distinct = np.unique(self.key)
+        key = np.array([x[0] for x in found], np.int64)
+        self.seeds, first = np.unique(key, return_index=True)
+        ends = [*first[1:].tolist(), len(found)]
+        self.places = [[x[1:] for x in found[lo:hi]] for lo, hi in zip(first.tolist(), ends)]  # (item, place) of each seed
 
     def keys(self, a: np.ndarray) -> np.ndarray:
         """The trigram that starts at each position; 0 where a word is not of the items."""
@@ -96,56 +99,45 @@ class Items:
         return at[hit], where[hit]
 
 
-def frequencies(shared):
-    """(doc_id, text) to (key, n): texts of the task that hold each trigram of the items."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
-        count = np.zeros(len(items.distinct), np.int64)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, AT_ONCE):
-                ids, starts = items.read(batch.column(1).slice(lo, AT_ONCE).to_pylist())
-                at, which = items.meet(ids, items.distinct)
-                doc = np.searchsorted(starts, at, "right")
-                count += np.bincount(np.unique(doc * len(count) + which) % len(count), minlength=len(count))
-        some = count > 0
-        yield pa.RecordBatch.from_pydict({"key": pa.array(items.distinct[some]), "n": pa.array(count[some])})
-
-    return run
-
-
 def alignments(shared, least: float):
     """(doc_id, text) to the pairs that leak."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, seeds = shared.value
+        items: Items = shared.value
         names = ("doc_id", "item_id", "score", "last_word")
         for batch in batches:
             out: list[tuple] = []
             for lo in range(0, batch.num_rows, AT_ONCE):
                 docs = batch.column(0).slice(lo, AT_ONCE)
                 ids, starts = items.read(batch.column(1).slice(lo, AT_ONCE).to_pylist())
-                at, which = items.meet(ids, seeds[0])
+                at, which = items.meet(ids, items.seeds)
                 if not len(at):
                     continue
                 ends = np.r_[starts[1:], len(ids)] - 2
                 tries: dict[tuple[int, int], list[int]] = {}
                 doc = np.searchsorted(starts, at, "right") - 1
                 for a, w, d in zip(at.tolist(), which.tolist(), doc.tolist()):
-                    for item, place in seeds[1][w]:
+                    for item, place in items.places[w]:
                         tries.setdefault((d, item), []).append(a - place)
                 for (d, item), begins in tries.items():
                     own = items.words[item]
-                    n, slack = len(own), len(own) // 4 + 2
-                    best, last, done = 0, 0, None
-                    for b in sorted(begins):  # where the item would begin
-                        if done is not None and b <= done + slack // 2:
+                    n = len(own)
+                    reach = max(0, int((1 - least) * MATCH * n))  # gaps cost 1 each, so an alignment of the least score has no more
+                    first, end = int(starts[d]), int(ends[d])
+                    windows: list[list[int]] = []
+                    for b in sorted(set(begins)):  # where the item would begin
+                        lo_w, hi_w = max(first, b - reach), min(end, b + n + reach)
+                        if windows and lo_w <= windows[-1][1]:
+                            windows[-1][1] = hi_w
+                        else:
+                            windows.append([lo_w, hi_w])
+                    best, last = 0, 0
+                    for lo_w, hi_w in windows:
+                        if MATCH * int(np.isin(own, ids[lo_w:hi_w]).sum()) < least * MATCH * n:
                             continue
-                        done = b
-                        lo_w, hi_w = max(int(starts[d]), b - slack), min(int(ends[d]), b + n + 2 * slack)
-                        got, end = best_local(own, ids[lo_w:hi_w])
+                        got, at_end = best_local(own, ids[lo_w:hi_w])
                         if got > best:
-                            best, last = got, lo_w + end - 1 - int(starts[d])
+                            best, last = got, lo_w + at_end - 1 - first
                     if best >= least * MATCH * n:
                         out.append((docs[d].as_py(), items.ids[item], best / (MATCH * n), last))
             columns = list(zip(*out)) if out else [[]] * 4
@@ -176,18 +168,6 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> Data
     found = []
     for block in blocks(items):
         shared = spark.sparkContext.broadcast(block)
-        rows = d.mapInArrow(frequencies(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most the block's trigrams
-        n_of = dict(zip(rows.column("key").to_pylist(), rows.column("n").to_pylist()))
-        per_item: dict[int, list[int]] = {}
-        for k, item in zip(block.key.tolist(), block.item.tolist()):
-            per_item.setdefault(item, []).append(n_of.get(k, 0))
-        most = {item: sorted(ns)[(len(ns) - 1) // 2] for item, ns in per_item.items()}
-        places: dict[int, list[tuple[int, int]]] = {}
-        for k, item, place in zip(block.key.tolist(), block.item.tolist(), block.place.tolist()):
-            if n_of.get(k, 0) <= most[item]:
-                places.setdefault(k, []).append((item, place))
-        keys = np.array(sorted(places), np.int64)
-        shared = spark.sparkContext.broadcast((block, (keys, [places[k] for k in keys.tolist()])))
         found.append(d.mapInArrow(alignments(shared, least), schema))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
