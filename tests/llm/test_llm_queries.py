@@ -377,6 +377,23 @@ def test_automaton_matches_brute_force(spark):
         assert got[i].held_out == (i in held)
 
 
+def test_every_repeated_gram_counts_in_a_large_corpus(spark):
+    """Words and grams that occur twice among 300,000 words, in blocks of their own, are part of the model as it comes."""
+    rng = random.Random(12)
+    docs = [(i, " ".join(f"r{rng.randrange(300)}" for _ in range(6000))) for i in range(50)]
+    docs += [(100 + i, "odd1 odd2 odd3 odd4") for i in range(2)] + [(200, "odd1 odd2 odd3 odd4"), (201, "odd2 odd3 r1")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm_scoring.score_documents(df, F.col("doc_id") >= 200).where("doc_id >= 100").collect()}
+    grams = {i: t.split() for i, t in docs}
+    uni = {w: sum(t.count(w) for i, t in grams.items() if i < 200) for w in ("odd1", "odd2", "odd3", "odd4")}
+    total = sum(len(t) + 1 for i, t in grams.items() if i < 200)
+    assert set(uni.values()) == {2} and {r.train_tokens for r in got.values()} == {total}
+    # after an end: 2 of 52 texts begin with odd1; each step after it is seen twice of two times
+    p = [(2 - 0.5) / 52] + [(2 - 0.5) / 2] * 4
+    assert abs(got[200].score - np.log10(p).sum()) < 1e-9 and abs(got[100].score - got[200].score) < 1e-9
+    assert got[201].score > got[201].base_score and got[200].n_known == 5
+
+
 def test_scores_beat_the_base_on_held_out_text(spark, sf):
     rows = QUERIES["op9_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)

@@ -1,25 +1,26 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Counts come from all training documents. Every word's count is kept (a distributed table that grows with the corpus). Word
-sequences of up to ``order`` words become states of the automaton if their share of the training tokens is at least
-``least_gram``, and their words at least ``least_word``: at most 1/least_gram and 1/least_word of them can exist at any size of
-the corpus, which is the proof that the automaton may be broadcast. Probabilities are discounted absolutely; every
-state has a failure arc to its longest proper suffix whose weight makes the distribution sum to 1 over known words and one unknown.
-The root's arcs are all words of the corpus, add-one smoothed: they are looked up per block of documents.
-
-Flow: documents are dealt over blocks by a hash of their id; each block sends one row for each distinct word, not for each
-occurrence; rows are summed to word counts and joined back to the blocks; each block's documents are then read
-left to right once, a state and a sum being all that is carried.
-
-Words are identified by 64-bit hashes. Defined cases: a null text counts as empty and has the end token only. With no training
+Counts come from all training documents. Every word's count is kept, and every sequence of up to ``order`` words that occurs ``LEAST_COUNT`` times
+or more becomes a state or an arc of the automaton (``least_word`` and ``least_gram`` can ask for a share of the training tokens on top).
+Probabilities are discounted absolutely; every state has a failure arc to its longest proper suffix whose weight makes the distribution
+sum to 1 over known words and one unknown. The root's arcs are all words of the corpus, add-one smoothed.
+
+The automaton grows with the corpus, so no machine holds all of it. Documents are dealt over blocks by a hash, and a block gets the arcs and weights that
+its own documents meet: it sends each distinct sequence once, with its count, to the part of the table that the sequence's hash names, and gets the sum over all
+blocks back. A sequence is sent only if both of its parts are known to be frequent enough, as it cannot be otherwise. A round for each length gives
+counts; the block that a part of the table names as a sequence's owner adds the arc to the sums of its context, which are exchanged in the same way and give
+the weights of failure arcs. A block sends a key once at most, so no key is hot. Blocks and parts are bounded in size, and their number grows with the input.
+
+Sequences are identified by 64-bit hashes. Defined cases: a null text counts as empty and has the end token only. With no training
 documents every probability is 1/(0+1). Repeated rows count as often as they stand. Other columns are ignored. Order of summation within a
 document is fixed; documents do not influence each other's scores except through counts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,13 @@ from timeloom.llm.common import fold, input_bytes, stage, table
 
 END = b"\n"  # no word can hold it
 ORDER = 3
-LEAST_WORD = 2.0**-16
-LEAST_GRAM = 2.0**-18
+LEAST_COUNT = 2
+LEAST_WORD = LEAST_GRAM = 0.0
 DISCOUNT = 0.5
-BLOCK_BYTES = 4 << 20
-FLUSH = 400_000
+BLOCK_BYTES = 3 << 20
+PART_BYTES = 32 << 20
+ROWS = "block int, kind int, pid int, data binary"
+STATE, WEIGHTS = 0, 100  # kinds of rows: what a block holds; length of sequences that are counted; WEIGHTS + length of contexts
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -43,237 +46,207 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def word_hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-class WordIds(dict):
-    """Word to id by way of its hash; -1 if it has none. Forgets all when it holds many words."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.of = {h: i for i, h in enumerate(hashes.tolist())}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > FLUSH:
-            self.clear()
-        self[word] = out = self.of.get(word_hash(word), -1)
-        return out
-
-
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, held_out, text) to (block, word, n): occurrences in training documents; n is 0 for a word of held-out ones only."""
-    seen: dict[int, Counter] = {}
-
-    def rows():
-        for block, count in seen.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(count), block, np.int32)), "word": pa.array(np.fromiter(map(word_hash, count), np.int64, len(count))), "n": pa.array(np.fromiter(count.values(), np.int64, len(count)))})
-        seen.clear()
-
-    for batch in batches:
-        for block, held, text in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2)):
-            words = tokens(text.as_py())
-            words.append(END)
-            count = seen.setdefault(block, Counter())
-            if held:
-                for w in words:
-                    if w not in count:
-                        count[w] = 0
-            else:
-                count.update(words)
-        if sum(map(len, seen.values())) > FLUSH:
-            yield from rows()
-    yield from rows()
-
-
-def gram_ids(ids: np.ndarray, tables: list[np.ndarray], n_words: int) -> np.ndarray:
-    """For each position the number of the gram of length len(tables) + 1 that ends there, or -1."""
-    at = ids
-    for keys in tables:
-        key = np.where((np.r_[-1, at[:-1]] >= 0) & (ids >= 0), np.r_[-1, at[:-1]] * n_words + ids, -1)
-        where = np.searchsorted(keys, key)
-        at = np.where((key >= 0) & (np.r_[keys, -2][where] == key), where, -1)
-    return at
-
-
-def count_grams(words: np.ndarray, tables: list[np.ndarray]):
-    """A function that counts grams one word longer than the last of ``tables``, both of whose parts are known."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, n = WordIds(words), len(words)
-        end, kept, size = of[END], [], 0
-        keys = counts = np.empty(0, np.int64)
-
-        def merge():
-            nonlocal keys, counts, kept, size
-            k, inv = np.unique(np.concatenate([keys, *(x for x, _ in kept)]), return_inverse=True)
-            counts = np.bincount(inv, np.concatenate([counts, *(x for _, x in kept)]), len(k)).astype(np.int64)
-            keys, kept, size = k, [], 0
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                ids: list[int] = []
-                for text in batch.column(0).slice(lo, 500).to_pylist():
-                    ids.append(end)
-                    ids.extend(map(of.__getitem__, tokens(text)))
-                    ids += (end, -1)
-                a = np.array(ids, np.int64)
-                at = gram_ids(a, tables, n)
-                before = np.r_[-1, at[:-1]]
-                key = (before * n + a)[(before >= 0) & (at >= 0)]
-                kept.append(np.unique(key, return_counts=True))
-                size += len(kept[-1][0])
-            if size > 1_000_000:
-                merge()
-            if len(keys) > FLUSH:
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(keys), "n": pa.array(counts)})
-                keys = counts = np.empty(0, np.int64)
-        merge()
-        if len(keys):
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(keys), "n": pa.array(counts)})
-
-    return run
-
-
-class Automaton:
-    """States are grams shorter than the order, by number: 0 the root, then words, then longer grams."""
-
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], total: int, kinds: int, discount: float = DISCOUNT):
-        n = self.n = len(words)
-        self.begin = int(np.searchsorted(words, word_hash(END))) + 1 if n else 0  # a text starts as if an end came before
-        self.words, self.counts, self.total, self.kinds = words, word_counts, total, kinds
-        self.bottom = total + kinds + 1
-        # the first state of each length; the longest grams have no state
-        self.first = np.cumsum([1, n, *(len(k) for k, _ in grams[:-1])]).tolist()
-        n_states = self.first[len(grams)] if grams else 1
-        self.fail, self.weight = np.zeros(n_states, np.int64), np.zeros(n_states)
-        arcs, probs, targets = [], [], []
-        suffix = np.full(n, -1, np.int64)  # for grams of the length before: the number of the gram without its first word
-        lower_p = (word_counts + 1) / self.bottom
-        before = word_counts
-        for k, (keys, counts) in enumerate(grams):
-            context, word = keys // n, keys % n
-            # the gram without its first word is one of the length before
-            if k == 0:
-                short = word
-            else:
-                key = suffix[context] * n + word
-                short = np.searchsorted(grams[k - 1][0], key)
-            p = (counts - discount) / before[context]
-            size = len(before)
-            left = 1 - np.bincount(context, p, size)
-            rest = 1 - np.bincount(context, lower_p[short], size)
-            state = self.first[k] + np.arange(size)
-            self.weight[state] = np.log10(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12))
-            self.fail[state] = 0 if k == 0 else self.first[k - 1] + suffix
-            arcs.append((self.first[k] + context) * n + word)
-            probs.append(np.log10(p))
-            last = k == len(grams) - 1
-            targets.append(self.first[k] + short if last else self.first[k + 1] + np.arange(len(keys)))
-            suffix, lower_p, before = short, p, counts
-        self.arcs, self.probs, self.targets = (np.concatenate(x) if x else np.empty(0) for x in (arcs, probs, targets))
-
-    def ready(self):
-        """Plain lists and a dictionary, for the traversal; made once a process."""
-        if not hasattr(self, "arc"):
-            self.arc = dict(zip(self.arcs.tolist(), range(len(self.arcs))))
-            self.p, self.to, self.f, self.w = (x.tolist() for x in (self.probs, self.targets, self.fail, self.weight))
-            down = np.zeros(len(self.fail))
-            for s in range(1, len(down)):  # failure arcs lead to lower numbers
-                down[s] = self.weight[s] + down[self.fail[s]]
-            self.down = down.tolist()
-        return self
-
-    def score(self, ids: list[int], root: list[float]) -> float:
-        """ids: numbers of the tokens, -1 for a word without a state; root: their log10 probabilities at the root."""
-        n, arc, p, to, fail, weight, down = self.n, self.arc, self.p, self.to, self.f, self.w, self.down
-        most = len(down)
-        state = self.begin if self.begin < most else 0
-        total = 0.0
-        for w, here in zip(ids, root):
-            if w < 0:
-                total += down[state] + here
-                state = 0
-                continue
-            a = arc.get(state * n + w) if state else None
-            while a is None and state:
-                total += weight[state]
-                state = fail[state]
-                a = arc.get(state * n + w) if state else None
-            if a is None:
-                total += here
-                state = w + 1 if w + 1 < most else 0
-            else:
-                total += p[a]
-                state = to[a]
-        return total
-
-
-def scorer(shared):
-    """A function of a block's documents and of the counts of its rarer words."""
-
-    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        model: Automaton = shared.value.ready()
-        known = dict(zip(found.column("word").to_pylist(), found.column("c").to_pylist()))
-        frequent = {h: i for i, h in enumerate(model.words.tolist())}
-        class Local(dict):
-            """Word to its number in this block; a new word's state and count are found once."""
-
-            def __missing__(self, word: bytes) -> int:
-                h = word_hash(word)
-                i = frequent.get(h, -1)
-                self[word] = k = len(ids)
-                ids.append(i)
-                counts.append(int(model.counts[i]) if i >= 0 else known.get(h, 0))
-                return k
-
-        local, ids, counts, read = Local(), [], [], []
-        for text in docs.column("text"):
-            words = tokens(text.as_py())
-            words.append(END)
-            read.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
-        state_of, c = np.array(ids, np.int64), np.array(counts, np.int64)
-        root = np.log10((c + 1) / model.bottom)
-        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for at in read:
-            here = root[at]
-            out["n_tokens"].append(len(at))
-            out["n_known"].append(int((c[at] > 0).sum()))
-            out["base_score"].append(float(here.sum()))
-            out["score"].append(model.score(state_of[at].tolist(), here.tolist()))
-        n = docs.num_rows
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array(np.full(n, model.total, np.int64)), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
-
-    return run
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of sequences, from those of all but the last word and of that."""
+    h = context * np.uint64(0x9E3779B97F4A7C15) + word
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as hold all of them."""
+    return x.astype(np.result_type(np.min_scalar_type(x.min()), np.min_scalar_type(x.max()))) if x.dtype.kind == "i" and len(x) else x
+
+
+def rows_of(rows: list[tuple]) -> pa.Table:
+    block, kind, pid, data = zip(*rows) if rows else ((),) * 4
+    return pa.table({"block": pa.array(block, pa.int32()), "kind": pa.array(kind, pa.int32()), "pid": pa.array(pid, pa.int32()), "data": pa.array([pickle.dumps(x, 5) for x in data], pa.binary())})
+
+
+def read_block(docs: pa.Table) -> pa.Table:
+    """(block, doc_id, held_out, text) of one block to its row of kind STATE."""
+    local: dict[bytes, int] = {END: 0}
+    ids, lengths = [], []
+    for text in docs.column("text"):
+        words = tokens(text.as_py())
+        ids.append(np.fromiter((local.setdefault(w, len(local)) for w in words), np.int32, len(words)))
+        lengths.append(len(words) + 2)  # a text starts as if an end came before
+    stream = np.zeros(sum(lengths), np.int32)
+    starts = np.cumsum([0, *lengths[:-1]])
+    for at, x in zip(starts.tolist(), ids):
+        stream[at + 1 : at + 1 + len(x)] = x
+    words = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))
+    state = stream.astype(np.min_scalar_type(len(local))), starts.astype(np.uint32), words, np.array(docs.column("held_out").to_pylist(), bool), docs.column("doc_id").to_pylist()
+    return rows_of([(docs.column("block")[0].as_py(), STATE, 0, state)])
+
+
+class Level:
+    """The sequences of one length in a block, in the order in which they are sent; ``at``: the one that ends at each token, or -1."""
+
+    def __init__(self, length: int, at: np.ndarray, number: np.ndarray, key: np.ndarray, last: np.ndarray, context: np.ndarray, suffix: np.ndarray, train: np.ndarray, parts: int):
+        pid = part_of(key, parts)
+        by = np.lexsort((key, pid))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        number = rank[number]
+        self.n = np.bincount(number, train, len(by)).astype(np.int64)
+        self.at = np.full(length, -1, np.int64)
+        self.at[at] = number
+        self.key, self.last, self.context, self.suffix = key[by], last[by], context[by], suffix[by]
+
+    def keep(self, counts: np.ndarray, least: float, always: int | None = None) -> None:
+        """Only what occurs often enough stays. counts: over all blocks, negative where this block is the owner."""
+        self.c, self.owner = np.abs(counts).astype(np.int64), counts < 0
+        some = self.c >= least
+        if always is not None:
+            some |= (self.key == np.uint64(always)) & (self.c > 0)
+        number = np.append(np.where(some, np.cumsum(some) - 1, -1), -1)
+        self.at = number[self.at]
+        for name in ("key", "last", "context", "suffix", "c", "owner"):
+            setattr(self, name, getattr(self, name)[some])
+
+
+class Block:
+    """What a block knows when sequences of up to ``counted`` words have been counted over all blocks."""
+
+    def __init__(self, rows: pa.Table, parts: int, counted: int, order: int, total: int, kinds: int, least: tuple[float, float]):
+        got: dict[int, list] = {}
+        for kind, pid, data in zip(*(rows.column(k).to_pylist() for k in ("kind", "pid", "data"))):
+            got.setdefault(kind, []).append((pid, pickle.loads(data)))
+        answer = {k: np.concatenate([x for _, x in sorted(v, key=lambda r: r[0])]) for k, v in got.items() if k != STATE}
+        self.block, self.parts, self.bottom = rows.column("block")[0].as_py(), parts, total + kinds + 1
+        stream, starts, words, held, self.doc_ids = got[STATE][0][1]
+        self.stream, self.starts = stream.astype(np.int64), starts.astype(np.int64)
+        self.held = held
+        lengths = np.diff(np.r_[self.starts, len(self.stream)])
+        self.train = np.repeat(~held, lengths)
+        self.inner = np.ones(len(self.stream), bool)
+        self.inner[self.starts] = False
+        none = np.zeros(len(words), np.int64)
+        level = Level(len(self.stream), np.arange(len(self.stream)), self.stream, words, np.arange(len(words)), none, none, self.train & self.inner, parts)
+        self.levels, self.fresh = [level], level  # the last one has not been counted yet
+        for k in range(1, counted + 1):
+            counts = answer.get(k, np.empty(0, np.int64))
+            if k == 1:
+                self.words_at = np.abs(counts).astype(np.int64)[level.at]  # the count of each token's word
+            level.keep(counts, max(LEAST_COUNT, least[k > 1] * total), xxhash.xxh64_intdigest(END) if k == 1 else None)
+            if k == 1:
+                level.last = np.arange(len(level.key))
+            if k < order:
+                level = self.fresh = self.next(level)
+                self.levels.append(level)
+        self.levels = self.levels[:counted]
+        self.weight = {k - WEIGHTS: x for k, x in answer.items() if k > WEIGHTS}
+
+    def next(self, below: Level) -> Level:
+        """Sequences one word longer, both of whose parts are known."""
+        before = np.r_[-1, below.at[:-1]]
+        at = np.flatnonzero((before >= 0) & (below.at >= 0) & self.inner)
+        n = max(1, len(below.key))
+        code, number = np.unique(before[at] * n + below.at[at], return_inverse=True)
+        context, suffix = code // n, code % n
+        last = below.last[suffix]
+        return Level(len(self.stream), at, number, longer(below.key[context], self.levels[0].key[last]), last, context, suffix, self.train[at], self.parts)
+
+    def probability(self, k: int) -> np.ndarray:
+        """Of the last word of each sequence of length k, after the others."""
+        level = self.levels[k - 1]
+        return (level.c + 1) / self.bottom if k == 1 else (level.c - DISCOUNT) / self.levels[k - 2].c[level.context]
+
+    def dealt(self, kind: int, key: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+        cuts = np.searchsorted(part_of(key, self.parts), np.arange(self.parts + 1))
+        for pid in np.flatnonzero(np.diff(cuts)).tolist():
+            here = slice(cuts[pid], cuts[pid + 1])
+            yield self.block, kind, pid, (key[here], *(v[here] for v in values))
+
+    def messages(self, order: int) -> pa.Table:
+        """What the next round is asked: counts of the next length, and the sums of the contexts of the last length that is counted."""
+        out, k = [], len(self.levels)
+        if k < order:
+            out += self.dealt(k + 1, self.fresh.key, narrow(self.fresh.n))
+        if k > 1:
+            top, below = self.levels[-1], self.levels[-2]
+            own, n = top.owner, len(below.key)
+            arcs = np.bincount(top.context[own], top.c[own] - DISCOUNT, n)
+            lower = np.bincount(top.context[own], self.probability(k - 1)[top.suffix[own]], n)
+            out += self.dealt(WEIGHTS + k - 1, below.key, arcs, lower, np.where(arcs > 0, below.c, 0))
+        return rows_of(out)
+
+    def scores(self, total: int) -> pa.Table:
+        root = np.log10((self.words_at + 1) / self.bottom)
+        p = root
+        for k in range(2, len(self.levels) + 1):
+            level, below = self.levels[k - 1], self.levels[k - 2]
+            before = np.r_[-1, below.at[:-1]]
+            fail = np.append(self.weight.get(k - 1, ()), 0.0)[before] + p
+            p = np.where(level.at >= 0, np.append(np.log10(self.probability(k)), 0.0)[level.at], fail)
+        each = lambda x: np.add.reduceat(np.where(self.inner, x, 0), self.starts)
+        n = each(np.ones(len(self.stream), np.int64))
+        return pa.table({"doc_id": pa.array(self.doc_ids, pa.int64()), "held_out": pa.array(self.held), "n_tokens": pa.array(n), "n_known": pa.array(each((self.words_at > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(each(root)), "score": pa.array(each(p))})
+
+
+def add_up(rows: pa.Table) -> pa.Table:
+    """The rows of one kind for one part of the table: sums over all blocks, for each block in the order it asked; for words also a row (block -1) of totals."""
+    kind, pid = rows.column("kind")[0].as_py(), rows.column("pid")[0].as_py()
+    asked = sorted(((b, pickle.loads(x)) for b, x in zip(rows.column("block").to_pylist(), rows.column("data").to_pylist())), key=lambda r: r[0])
+    key, *values = (np.concatenate(x) for x in zip(*(x for _, x in asked)))
+    by = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(key[by]) != 0])
+    sizes = np.diff(np.r_[first, len(by)])
+    out, answers = [], None
+    if kind < WEIGHTS:
+        c = np.add.reduceat(values[0][by].astype(np.int64), first)
+        if kind == 1:
+            out.append((-1, kind, pid, (int(c.sum()), int((c > 0).sum()))))
+        answers = np.empty(len(by), np.int32 if c.max() < 1 << 31 else np.int64)
+        answers[by] = np.repeat(c, sizes)
+        answers[by[first]] *= -1
+        if kind > 1:
+            answers[np.abs(answers) < LEAST_COUNT] = 0
+    else:
+        arcs, lower = (np.add.reduceat(v[by], first) for v in values[:2])
+        n = np.maximum(np.maximum.reduceat(values[2][by], first), 1)
+        weight = np.log10(np.maximum(1 - arcs / n, 1e-12) / np.maximum(1 - lower, 1e-12))
+        answers = np.empty(len(by))
+        answers[by] = np.repeat(weight, sizes)
+    ends = np.cumsum([len(x[0]) for _, x in asked]).tolist()
+    out += [(b, kind, pid, narrow(answers[lo:hi])) for (b, _), lo, hi in zip(asked, [0, *ends], ends)]
+    return rows_of(out)
 
 
 def score_documents(docs: DataFrame, held_out, order: int = ORDER, least_word: float = LEAST_WORD, least_gram: float = LEAST_GRAM) -> DataFrame:
     """docs: doc_id, text. held_out: boolean column; the model learns from the other documents only."""
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    n_blocks = max(64, -(-input_bytes(docs) // BLOCK_BYTES))
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
-    parts = stage(d.select("block", "held_out", "text").repartition("block").mapInArrow(count_words, "block int, word long, n long"), "lm-parts")
-    counts = stage(parts.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
-    often = max(2, least_word * total)
-    rows = counts.where((F.col("c") >= often) | (F.col("word") == word_hash(END))).orderBy("word").toArrow()  # at most 1 / least_word + 1
-    words, word_counts = (np.asarray(rows.column(k), np.int64) for k in ("word", "c"))
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(words) and len(grams) < order - 1:
-        run = count_grams(words, [k for k, _ in grams])
-        got = d.where(~F.col("held_out")).select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        got = got.where(F.col("n") >= max(2, least_gram * total)).toArrow()  # at most 1 / least_gram
-        keys, n = (np.asarray(got.column(k), np.int64) for k in ("gram", "n"))
-        if not len(keys):
-            break
-        by = np.argsort(keys)
-        grams.append((keys[by], n[by]))
-    model = Automaton(words, word_counts, grams, int(total), int(kinds))
-    shared = spark.sparkContext.broadcast(model)
-    found = parts.select("block", "word").join(counts.where((F.col("c") < often) & (F.col("word") != word_hash(END))), "word").select("block", "word", "c")
+    size = input_bytes(docs)
+    n_blocks, parts = max(64, -(-size // BLOCK_BYTES)), max(64, -(-size // PART_BYTES))
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    known = [stage(d.groupBy("block").applyInArrow(read_block, ROWS), "lm-blocks")]
+    total = kinds = 0
+    least = least_word, least_gram
+
+    def asking(counted: int):
+        return lambda rows: Block(rows, parts, counted, order, total, kinds, least).messages(order)
+
+    for k in range(order + 1 if order > 1 else 1):
+        asked = reduce(DataFrame.unionByName, known).groupBy("block").applyInArrow(asking(k), ROWS)
+        got = stage(asked.groupBy("kind", "pid").applyInArrow(add_up, ROWS), "lm-answers")
+        known.append(got.where("block >= 0"))
+        del asked
+        docs.sparkSession.sparkContext._jvm.System.gc()  # what rounds before have shuffled leaves the disks
+        if k == 0:
+            sums = [pickle.loads(r.data) for r in got.where("block < 0").collect()]  # one row a part
+            total, kinds = (sum(x[i] for x in sums) for i in range(2))
+
+    def answer(rows: pa.Table) -> pa.Table:
+        return Block(rows, parts, order, order, total, kinds, least).scores(total)
+
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return d.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scorer(shared), schema)
+    return reduce(DataFrame.unionByName, known).groupBy("block").applyInArrow(answer, schema)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
