@@ -203,6 +203,20 @@ def test_jaccard_on_odd_rows(odd, none):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None"]
 
 
+def test_rows_without_an_id_of_their_own_stay_apart(spark):
+    """Null and repeated ids: one row of each group of similar texts stays, and only rows that leak go."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(None, text(k)) for k in range(5)] + [(7, text(0)), (None, text(1)), (8, text(5)), (8, text(6)), (8, text(6)), (None, None), (None, " "), (9, text(5) + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(3)
+    kept = jaccard_join.keep_one(df)
+    want = [(7, text(0)), *((None, text(k)) for k in range(1, 5)), (8, text(5)), (8, text(6)), (None, None), (None, " ")]
+    assert kept.columns == df.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    items = spark.createDataFrame([(1, text(2)), (2, text(5))], "item_id long, text string")
+    left = decontamination.drop_leaks(df, items)
+    assert left.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([x for x in rows if x[1] not in (text(2), text(5), text(5) + " x")], key=str)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 1)]

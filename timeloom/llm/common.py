@@ -57,6 +57,11 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def row_hash() -> Column:
+    """What tells rows of documents apart where doc_id is null or repeated: 64 bits of doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes a plan reads, without a job; where it has none, the bytes of the column ``text``."""
     guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

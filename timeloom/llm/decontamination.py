@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import table
+from timeloom.llm.common import row_hash, table
 
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -173,9 +173,9 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> Data
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents that leak no item."""
-    bad = leaks(docs, items, least).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows whose text leaks no item, whatever other rows have their doc_id."""
+    bad = leaks(docs.select(row_hash().alias("doc_id"), "text"), items, least).select(F.col("doc_id").alias("_row")).distinct()
+    return docs.withColumn("_row", row_hash()).join(bad, "_row", "left_anti").drop("_row")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,10 +27,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import stage, table
+from timeloom.llm.common import row_hash, stage, table
 from timeloom.llm.graph import components
 
 N = 5
@@ -86,7 +85,7 @@ def common_needed(x, y, percent: int):
 
 
 def survey(n: int):
-    """(doc_id, text) to rows of kind 0: doc_id, node, size; kind 1: an n-gram (in node) of a node in the sample, from the half of its set that may come into a prefix."""
+    """(doc_id, text, row) to rows of kind 0: doc_id, row, node, size; kind 1: an n-gram (in node) of a node in the sample, from the half of its set that may come into a prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, seen = WordHash(), set()
@@ -103,9 +102,9 @@ def survey(n: int):
             if len(seen) > CACHE:
                 seen.clear()
             k = batch.num_rows
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(k, np.int32)), "doc_id": batch.column(0), "node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(k, np.int32)), "doc_id": batch.column(0), "row": batch.column(2), "node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int64())})
             g = np.concatenate(halves).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(g), np.int32)), "doc_id": pa.nulls(len(g), pa.int64()), "node": pa.array(g), "n": pa.nulls(len(g), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(g), np.int32)), "doc_id": pa.nulls(len(g), pa.int64()), "row": pa.nulls(len(g), pa.int64()), "node": pa.array(g), "n": pa.nulls(len(g), pa.int64())})
 
     return run
 
@@ -352,12 +351,12 @@ def tree_join(percent: int):
     return run
 
 
-def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text. Returns doc_id, row (see row_hash), node and n of each row, and node, component, first (doc_id) of each node."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = stage(d.mapInArrow(survey(n), "kind int, doc_id long, node long, n long"), "jaccard-survey")
-    of_doc = seen.where("kind = 0").select("doc_id", "node", "n")
+    seen = stage(d.select("doc_id", "text", row_hash().alias("row")).mapInArrow(survey(n), "kind int, doc_id long, row long, node long, n long"), "jaccard-survey")
+    of_doc = seen.where("kind = 0").select("doc_id", "row", "node", "n")
     often = seen.where("kind = 1").groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
     often = often.orderBy(F.desc("c"), "node").limit(MOST_OFTEN).select("node").toArrow()
     hot = np.sort(np.asarray(often.column("node"), np.int64)).view(np.uint64)
@@ -388,6 +387,12 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     else:
         found = links.select("node", F.col("other").alias("component"))
     whole = stage(first.drop("n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-nodes")
+    return of_doc, whole
+
+
+def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    of_doc, whole = classes(docs, n, percent)
     smallest = whole.groupBy("component").agg(F.min("first").alias("component_id"))
     names = whole.join(smallest, "component").select("node", "component_id")
     return of_doc.join(names, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -403,11 +408,14 @@ def prefix_rest_sql(size: str, percent: int) -> str:
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The documents of which no similar one, directly or by way of others, has a smaller doc_id; of rows with one id, one stays."""
-    groups = join(docs, n, percent)
-    keep = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    same = docs.join(keep.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return same.withColumn("_k", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_k = 1").drop("_k")
+    """One row of each group of similar texts: that of the smallest doc_id (null is the greatest), of equal ones by hash. Texts without words all stay."""
+    of_doc, whole = classes(docs, n, percent)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    keep = of_doc.join(whole.select("node", "component"), "node").groupBy("component").agg(F.min(rank)["row"].alias("_row")).select("_row")
+    rows = docs.withColumn("_row", row_hash())
+    has_word = F.coalesce(F.regexp_like("text", F.lit("[^ \\t-\\r]")), F.lit(False))
+    one = rows.where(has_word).join(keep, "_row").dropDuplicates(["_row"])
+    return one.unionByName(rows.where(~has_word)).drop("_row")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
