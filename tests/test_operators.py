@@ -207,3 +207,11 @@ def test_more_text_and_numbers(spark):
     for tempo in (0.1, 0.5, 1.3, 2.0, 7.0):
         steps = one(spark, numeric.tempo_steps(F.col("v")), v=tempo)
         assert all(0.5 - 1e-9 <= s <= 2 + 1e-9 for s in steps) and math.isclose(math.prod(steps), tempo)
+
+
+def test_texts_match_whole_and_normalised(spark):
+    from timeloom.operators import selection
+
+    docs = spark.createDataFrame([(1, "「Hello」, wide\u3000World!"), (2, "hello wide word"), (3, None), (4, "?!")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "hello wide world"), (8, "HELLO WIDE WORLD."), (7, "he"), (6, "..")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in selection.first_equal_text(docs, items, "item_id").select("doc_id", "item_id").collect()) == [(1, 8), (2, None), (3, None), (4, None)]

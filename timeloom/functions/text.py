@@ -20,6 +20,15 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(text, "[\\s　、。,.，．!！?？]", "")
 
 
+#: White space of all scripts, sentence marks, quotes and brackets: what does not count when whole texts are compared.
+COMPARE_DROP = "[\\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000,.;:!?！？、。・ー~〜…'\"“”‘’「」『』（）()]+"
+
+
+def compare_key(text: Column) -> Column:
+    """The whole text in small letters without COMPARE_DROP; empty for a null text."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COMPARE_DROP, ""))
+
+
 def density(text: Column, seconds: Column) -> Column:
     """Stripped characters per second; durations below a millisecond count as one."""
     return F.length(strip(text)) / F.greatest(F.lit(0.001), seconds)

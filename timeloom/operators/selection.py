@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from timeloom.functions.text import compare_key
+
 
 def top(df: DataFrame, by: list[str], *order: Column, k: int = 1) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
@@ -42,6 +44,13 @@ def keep_best(df: DataFrame, by: list[str], *order: Column, ident: str) -> DataF
     return df.withColumn("reason", F.when(F.col(ident) != F.col("kept_id"), F.concat(F.lit("duplicate_of:"), F.col("kept_id").cast("string"))))
 
 
+def first_equal_text(df: DataFrame, candidates: DataFrame, ident: str) -> DataFrame:
+    """Adds the first candidate (least ``ident``) whose whole normalised text equals the row's, or null; texts that are empty then match nothing."""
+    key = compare_key(F.col("text"))
+    first = candidates.select(key.alias("_k"), ident).where("_k <> ''").groupBy(F.sha2("_k", 256).alias("_h")).agg(F.min(ident).alias(ident))  # one row a text
+    return df.drop(ident).withColumn("_h", F.sha2(key, 256)).join(first, "_h", "left").drop("_h")
+
+
 def near_duplicates(df: DataFrame, key: str, size: str, ident: str, absolute: float, relative: float) -> DataFrame:
     """Rows with the key of a larger one (the representative) and a size within an absolute or relative tolerance of it."""
     w = W.partitionBy(key).orderBy(F.desc(size), F.asc(ident)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)

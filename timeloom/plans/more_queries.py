@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from timeloom.functions import kernel, numeric
+from timeloom.functions import kernel, numeric, text
 from timeloom.functions.time import DAY
 from timeloom.operators import intervals, reasons, selection, sequences, words
 from timeloom.plans.catalog import query
@@ -88,6 +88,23 @@ def first_match_by_key(spark, sf):
     return load(spark, sf, "documents").select("doc_id", key().alias("k")).join(first, "k", "left").select("doc_id", "item_id")
 
 
+DROP_SQL = text.COMPARE_DROP.replace("'", "''")
+
+
+@query("first_match_by_text", f"""WITH d AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '{DROP_SQL}', '', 'g')) AS k FROM documents), b AS (SELECT item_id, lower(regexp_replace(coalesce(text, ''), '{DROP_SQL}', '', 'g')) AS k FROM benchmark)
+SELECT d.doc_id, min(b.item_id) AS item_id FROM d LEFT JOIN b ON d.k = b.k AND d.k <> '' GROUP BY 1""")
+def first_match_by_text(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    return selection.first_equal_text(docs, load(spark, sf, "benchmark").select("item_id", "text"), "item_id").select("doc_id", "item_id")
+
+
+@query("near_duplicate_by_text", f"""WITH r AS (SELECT doc_id, n_chars, first_value(doc_id) OVER w AS rep_id, first_value(n_chars) OVER w AS rep_size FROM documents WINDOW w AS (PARTITION BY sha256(lower(regexp_replace(coalesce(text, ''), '{DROP_SQL}', '', 'g'))) ORDER BY n_chars DESC, doc_id))
+SELECT doc_id, rep_id, doc_id <> rep_id AND abs(rep_size - n_chars) <= greatest(2.0, rep_size * 0.03) AS near_duplicate FROM r""")
+def near_duplicate_by_text(spark, sf):
+    rows = load(spark, sf, "documents").select("doc_id", "n_chars", F.sha2(text.compare_key(F.col("text")), 256).alias("k"))
+    return selection.near_duplicates(rows, "k", "n_chars", "doc_id", 2.0, 0.03).select("doc_id", "rep_id", "near_duplicate")
+
+
 @query("neighbour_costs", f"""WITH {CHUNKS}, n AS (SELECT *, r_start - lag(r_end) OVER w AS l, lead(r_start) OVER w - r_end AS r FROM e WINDOW w AS (PARTITION BY user_id ORDER BY r_start, chunk_id))
 SELECT chunk_id, CASE WHEN l IS NULL AND r IS NULL THEN NULL WHEN r IS NULL OR l <= r + 60000000 THEN 'left' ELSE 'right' END AS side FROM n""")
 def neighbour_costs(spark, sf):
