@@ -345,8 +345,8 @@ def test_lines_on_odd_rows(odd, none):
 # language-model scoring
 
 
-def brute_scores(docs, held, order=3, least_word=2, least_gram=2, d=0.5):
-    """Backoff probabilities straight from counts of token tuples."""
+def brute_scores(docs, held, order=3, d=0.5, least=1):
+    """Interpolated probabilities straight from counts of token tuples."""
     from collections import Counter
     from math import log10
 
@@ -354,25 +354,24 @@ def brute_scores(docs, held, order=3, least_word=2, least_gram=2, d=0.5):
     train = [t for i, t in texts.items() if i not in held]
     uni = Counter(w for t in train for w in t)
     total, kinds = sum(uni.values()), len(uni)
-    words = {w for w, c in uni.items() if c >= least_word} | ({lm_scoring.END} if uni else set())
-    grams = [{(w,): uni[w] for w in words}]
+    counts = [{(w,): c for w, c in uni.items()}]
     for k in range(2, order + 1):
-        c = Counter(tuple(s[i : i + k]) for t in train for s in [[lm_scoring.END, *t]] for i in range(len(s) - k + 1))
-        grams.append({g: n for g, n in c.items() if n >= least_gram and g[1:] in grams[-1] and g[:-1] in grams[-1]})
+        counts.append(Counter(tuple(s[i : i + k]) for t in train for s in [[lm_scoring.END, *t]] for i in range(len(s) - k + 1)))
+    grams = [{g: c for g, c in level.items() if c >= least} for level in counts]
 
     def p(w, h):
         if not h:
             return (uni[w] + 1) / (total + kinds + 1)
-        if h not in grams[len(h) - 1]:
+        n = counts[len(h) - 1].get(h, 0)
+        if not n:
             return p(w, h[1:])
-        seen = {g[-1]: n for g, n in grams[len(h)].items() if g[:-1] == h}
-        n = grams[len(h) - 1][h]
-        if w in seen:
-            return (seen[w] - d) / n
+        seen = {g[-1]: c for g, c in grams[len(h)].items() if g[:-1] == h}
         left = 1 - sum((c - d) / n for c in seen.values())
-        rest = 1 - sum(p(x, h[1:]) for x in seen)
-        return left / rest * p(w, h[1:])
+        return ((seen[w] - d) / n if w in seen else 0) + left * p(w, h[1:])
 
+    some = {h for level in counts[:-1] for h in list(level)[:5]}
+    for h in some:  # the distribution of a state sums to 1 over known words and one unknown
+        assert abs(sum(p(w, h) for w in [*uni, "unknown"]) - 1) < 1e-9
     out = {}
     for i, t in texts.items():
         s = [lm_scoring.END, *t]
@@ -380,31 +379,50 @@ def brute_scores(docs, held, order=3, least_word=2, least_gram=2, d=0.5):
     return out
 
 
-def test_automaton_matches_brute_force(spark):
+@pytest.mark.parametrize("order, least, block_bytes, split", [(3, 1, 60, 4), (3, 1, 1 << 20, 1), (3, 2, 100, 50), (4, 1, 200, 4), (2, 1, 40, 4)])
+def test_automaton_matches_brute_force(spark, monkeypatch, order, least, block_bytes, split):
+    """Also with many small blocks, with hot states that are split over parts, and with a least count."""
+    monkeypatch.setattr(lm_scoring, "SPLIT", split)
     rng = random.Random(8)
     docs = [(i, " ".join(rng.choice("a a a b b c d E f g h".split()) for _ in range(rng.randrange(0, 25)))) for i in range(40)]
     held = {i for i, _ in docs if i % 5 == 0}
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in lm_scoring.score_documents(df, F.col("doc_id") % 5 == 0, least_word=0.0, least_gram=0.0).collect()}
-    for i, (base, score) in brute_scores(docs, held).items():
+    got = {r.doc_id: r for r in lm_scoring.score_documents(df, F.col("doc_id") % 5 == 0, order, least, block_bytes).collect()}
+    for i, (base, score) in brute_scores(docs, held, order, least=least).items():
         assert abs(got[i].base_score - base) < 1e-9 and abs(got[i].score - score) < 1e-9, i
         assert got[i].held_out == (i in held)
 
 
-def test_every_repeated_gram_counts_in_a_large_corpus(spark):
-    """Words and grams that occur twice among 300,000 words, in blocks of their own, are part of the model as it comes."""
+def test_packed_numbers_come_back():
+    arrays = [np.array([3, 0, 255]), np.array([], np.int64), np.array([1 << 40, 7]), np.array([-5, 9]), np.array([True, False]), np.array([1 << 63, 1], np.uint64)]
+    for a, b in zip(arrays, lm_scoring.unpack(lm_scoring.pack(*arrays))):
+        assert a.tolist() == b.tolist()
+
+
+def test_every_gram_counts_in_a_large_corpus(spark):
+    """Words and grams that occur once or twice among 300,000 words, in blocks of their own, are part of the model as it comes."""
     rng = random.Random(12)
     docs = [(i, " ".join(f"r{rng.randrange(300)}" for _ in range(6000))) for i in range(50)]
-    docs += [(100 + i, "odd1 odd2 odd3 odd4") for i in range(2)] + [(200, "odd1 odd2 odd3 odd4"), (201, "odd2 odd3 r1")]
+    docs += [(100 + i, "odd1 odd2 odd3 odd4") for i in range(2)] + [(110, "one1 one2 one3")] + [(200, "odd1 odd2 odd3 odd4"), (201, "odd2 odd3 r1"), (202, "one1 one2 one3")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in lm_scoring.score_documents(df, F.col("doc_id") >= 200).where("doc_id >= 100").collect()}
-    grams = {i: t.split() for i, t in docs}
-    uni = {w: sum(t.count(w) for i, t in grams.items() if i < 200) for w in ("odd1", "odd2", "odd3", "odd4")}
-    total = sum(len(t) + 1 for i, t in grams.items() if i < 200)
-    assert set(uni.values()) == {2} and {r.train_tokens for r in got.values()} == {total}
-    # after an end: 2 of 52 texts begin with odd1; each step after it is seen twice of two times
-    p = [(2 - 0.5) / 52] + [(2 - 0.5) / 2] * 4
-    assert abs(got[200].score - np.log10(p).sum()) < 1e-9 and abs(got[100].score - got[200].score) < 1e-9
+    total = sum(len(t.split()) + 1 for i, t in docs if i < 200)
+    assert {r.train_tokens for r in got.values()} == {total}
+    kinds = 300 + 4 + 3 + 1
+    root = lambda c: (c + 1) / (total + kinds + 1)
+
+    def chain(n, words, first, starts):
+        """Each step after the first is seen n of n times, in both states."""
+        p = [(n - 0.5) / 53 + 0.5 * starts / 53 * root(n)]
+        for k in range(words):
+            last = root(53) if k == words - 1 else root(n)
+            two = (n - 0.5) / n + 0.5 / n * last
+            p.append((n - 0.5) / n + 0.5 / n * two)
+        return np.log10(p).sum()
+
+    starts = len({t.split()[0] for i, t in docs if i < 200})
+    assert abs(got[200].score - chain(2, 4, "odd1", starts)) < 1e-9 and abs(got[100].score - got[200].score) < 1e-9
+    assert abs(got[202].score - chain(1, 3, "one1", starts)) < 1e-9
     assert got[201].score > got[201].base_score and got[200].n_known == 5
 
 

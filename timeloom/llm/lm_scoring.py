@@ -1,30 +1,34 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Counts come from all training documents. Every word's count is kept, and every sequence of up to ``order`` words that occurs ``LEAST_COUNT`` times
-or more becomes a state or an arc of the automaton (``least_word`` and ``least_gram`` can ask for a share of the training tokens on top).
-Probabilities are discounted absolutely; every state has a failure arc to its longest proper suffix whose weight makes the distribution
-sum to 1 over known words and one unknown. The root's arcs are all words of the corpus, add-one smoothed.
-
-The automaton grows with the corpus, so no machine holds all of it. Documents are dealt over blocks by a hash, and a block gets the arcs and weights that
-its own documents meet: it sends each distinct sequence once, with its count, to the part of the table that the sequence's hash names, and gets the sum over all
-blocks back. A sequence is sent only if both of its parts are known to be frequent enough, as it cannot be otherwise. A round for each length gives
-counts; the block that a part of the table names as a sequence's owner adds the arc to the sums of its context, which are exchanged in the same way and give
-the weights of failure arcs. A block sends a key once at most, so no key is hot. Blocks and parts are bounded in size, and their number grows with the input.
-
-Sequences are identified by 64-bit hashes. Defined cases: a null text counts as empty and has the end token only. With no training
-documents every probability is 1/(0+1). Repeated rows count as often as they stand. Other columns are ignored. Order of summation within a
-document is fixed; documents do not influence each other's scores except through counts.
+Counts come from all training documents. Every word and every sequence of up to ``order`` words that occurs in them (``least`` times or more, 1 as it
+comes) is an arc, and what it leads to is a state of the automaton. Probabilities are discounted absolutely and interpolated: an arc's is
+(count - D) / count of its state + weight of the state's failure arc x probability of the word in the state that this leads to (the longest
+proper suffix). The failure arc's weight is what discounting has left, so that each state's distribution sums to 1 over known words and one unknown. The root's arcs
+are all words of the corpus, add-one smoothed. A text is read from left to right once: each word is followed from the longest state, by failure
+arcs where there is no arc, and the logarithms are added up.
+
+The automaton grows with the corpus, so no machine holds all of it. Documents are dealt over blocks where they are read, and a block gets the arcs and weights
+that its own documents meet. States and words are numbered densely, length after length. In a round for each length, a block sends each of
+its distinct sequences once, with its count, to the part of the table that the number of the sequence's state names; the part adds up the counts of all
+blocks, numbers the sequences, and returns counts, numbers and, for each state, the sum and number of its arcs, from which the weight of the failure arc follows. States
+with more than their share of arcs are split over several parts by the word, and the block adds up what each of these returns. So no key is hot, a key
+occurs once in a block's message at most, nothing is broadcast, and blocks and parts are bounded in size while their number grows with the input.
+
+Words are told apart by 64 bits of their hash, longer sequences by the numbers of their state and last word. Defined cases: a null text counts as empty
+and has the end token only. With no training documents every probability is 1/(0+1). Repeated rows count as often as they stand. Other columns are ignored.
+Order of summation within a document is fixed; documents do not influence each other's scores except through counts.
 """
 
 from __future__ import annotations
 
-import pickle
+import struct
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +36,14 @@ from timeloom.llm.common import fold, input_bytes, stage, table
 
 END = b"\n"  # no word can hold it
 ORDER = 3
-LEAST_COUNT = 2
-LEAST_WORD = LEAST_GRAM = 0.0
+LEAST = 1
 DISCOUNT = 0.5
-BLOCK_BYTES = 3 << 20
-PART_BYTES = 32 << 20
-ROWS = "block int, kind int, pid int, data binary"
-STATE, WEIGHTS = 0, 100  # kinds of rows: what a block holds; length of sequences that are counted; WEIGHTS + length of contexts
+BLOCK_BYTES = 4 << 20
+PART_BYTES = 16 << 20
+SPLIT = 4  # a state with more than 1/SPLIT of the tokens of a part is split
+ROWS = "block long, kind int, pid int, data binary"
+STATE = 0  # kind of the rows that hold a block's documents; other kinds are lengths of sequences
+DTYPES = ("u1", "u2", "u4", "u8", "i8", "f8")
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -46,204 +51,282 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hashes of sequences, from those of all but the last word and of that."""
-    h = context * np.uint64(0x9E3779B97F4A7C15) + word
+def mixed(x: np.ndarray) -> np.ndarray:
+    h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, each in as few bytes as hold its values, their bytes in planes and compressed."""
+    out = [struct.pack("<B", len(arrays))]
+    for a in arrays:
+        if a.dtype.kind in "ui" and len(a) and a.min() >= 0:
+            a = a.astype(np.min_scalar_type(int(a.max())))
+        elif a.dtype.kind == "b" or not len(a):
+            a = a.astype(np.uint8)
+        out.append(struct.pack("<Bq", DTYPES.index(a.dtype.str[1:]), len(a)))
+        out.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"")
+    raw = b"".join(out)
+    return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def narrow(x: np.ndarray) -> np.ndarray:
-    """Whole numbers in as few bytes as hold all of them."""
-    return x.astype(np.result_type(np.min_scalar_type(x.min()), np.min_scalar_type(x.max()))) if x.dtype.kind == "i" and len(x) else x
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], struct.unpack_from("<q", data)[0], codec="zstd", asbytes=True)
+    out, at = [], 1
+    for _ in range(raw[0]):
+        kind, n = struct.unpack_from("<Bq", raw, at)
+        at, size = at + 9, int(DTYPES[kind][1])
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(DTYPES[kind]).reshape(n))
+        at += n * size
+    return out
 
 
-def rows_of(rows: list[tuple]) -> pa.Table:
+def signed(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.int64)
+
+
+def rows_of(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     block, kind, pid, data = zip(*rows) if rows else ((),) * 4
-    return pa.table({"block": pa.array(block, pa.int32()), "kind": pa.array(kind, pa.int32()), "pid": pa.array(pid, pa.int32()), "data": pa.array([pickle.dumps(x, 5) for x in data], pa.binary())})
-
-
-def read_block(docs: pa.Table) -> pa.Table:
-    """(block, doc_id, held_out, text) of one block to its row of kind STATE."""
-    local: dict[bytes, int] = {END: 0}
-    ids, lengths = [], []
-    for text in docs.column("text"):
-        words = tokens(text.as_py())
-        ids.append(np.fromiter((local.setdefault(w, len(local)) for w in words), np.int32, len(words)))
-        lengths.append(len(words) + 2)  # a text starts as if an end came before
-    stream = np.zeros(sum(lengths), np.int32)
-    starts = np.cumsum([0, *lengths[:-1]])
-    for at, x in zip(starts.tolist(), ids):
-        stream[at + 1 : at + 1 + len(x)] = x
-    words = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))
-    state = stream.astype(np.min_scalar_type(len(local))), starts.astype(np.uint32), words, np.array(docs.column("held_out").to_pylist(), bool), docs.column("doc_id").to_pylist()
-    return rows_of([(docs.column("block")[0].as_py(), STATE, 0, state)])
+    return pa.table({"block": pa.array(block, pa.int64()), "kind": pa.array(kind, pa.int32()), "pid": pa.array(pid, pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def slices(pid: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal numbers in a sorted array."""
+    cuts = np.flatnonzero(np.r_[True, np.diff(pid) != 0]) if len(pid) else np.empty(0, np.int64)
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pid)]):
+        yield int(pid[lo]), slice(lo, hi)
+
+
+def read_blocks(limit: int):
+    """(doc_id, held_out, text) to a row of kind STATE for every ``limit`` bytes of text, numbered by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        local: dict[bytes, int] = {END: 0}
+        docs: list[tuple] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            lengths = np.array([len(x) + 2 for *_, x in docs], np.int64)  # a text starts as if an end came before
+            starts = np.cumsum(lengths) - lengths
+            stream = np.zeros(lengths.sum(), np.int64)
+            for at, (*_, x) in zip(starts.tolist(), docs):
+                stream[at + 1 : at + 1 + len(x)] = x
+            words = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))
+            ids = np.array([d or 0 for d, *_ in docs], np.int64)
+            state = pack(stream, lengths, words, np.array([h for _, h, _ in docs], bool), ids, np.array([d is None for d, *_ in docs], bool))
+            return rows_of([(block, STATE, 0, state)]).to_batches()[0]
+
+        for batch in batches:
+            for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words = tokens(text.as_py())
+                docs.append((doc_id, held, np.fromiter((local.setdefault(w, len(local)) for w in words), np.int32, len(words))))
+                size += sum(map(len, words)) + len(words)
+                if size >= limit:
+                    yield done()
+                    local, docs, size, block = {END: 0}, [], 0, block + 1
+        if docs:
+            yield done()
+
+    return run
 
 
 class Level:
-    """The sequences of one length in a block, in the order in which they are sent; ``at``: the one that ends at each token, or -1."""
+    """The sequences of one length in a block: their state and last word (numbers within the block), count and number over all blocks."""
 
-    def __init__(self, length: int, at: np.ndarray, number: np.ndarray, key: np.ndarray, last: np.ndarray, context: np.ndarray, suffix: np.ndarray, train: np.ndarray, parts: int):
-        pid = part_of(key, parts)
-        by = np.lexsort((key, pid))
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        number = rank[number]
-        self.n = np.bincount(number, train, len(by)).astype(np.int64)
-        self.at = np.full(length, -1, np.int64)
-        self.at[at] = number
-        self.key, self.last, self.context, self.suffix = key[by], last[by], context[by], suffix[by]
-
-    def keep(self, counts: np.ndarray, least: float, always: int | None = None) -> None:
-        """Only what occurs often enough stays. counts: over all blocks, negative where this block is the owner."""
-        self.c, self.owner = np.abs(counts).astype(np.int64), counts < 0
-        some = self.c >= least
-        if always is not None:
-            some |= (self.key == np.uint64(always)) & (self.c > 0)
+    def __init__(self, at: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray):
+        self.at, self.context, self.word, self.n = at, context, word, n
+        self.count = self.gid = np.empty(0, np.int64)
+
+    def keep(self, least: int) -> None:
+        """Only what occurs often enough stays."""
+        some = self.count >= least
         number = np.append(np.where(some, np.cumsum(some) - 1, -1), -1)
         self.at = number[self.at]
-        for name in ("key", "last", "context", "suffix", "c", "owner"):
+        for name in ("context", "word", "n", "count", "gid"):
             setattr(self, name, getattr(self, name)[some])
 
 
 class Block:
     """What a block knows when sequences of up to ``counted`` words have been counted over all blocks."""
 
-    def __init__(self, rows: pa.Table, parts: int, counted: int, order: int, total: int, kinds: int, least: tuple[float, float]):
-        got: dict[int, list] = {}
+    def __init__(self, rows: pa.Table, parts: int, counted: int, total: int, kinds: int, least: int):
+        self.parts, self.total, self.bottom = parts, total, total + kinds + 1
+        self.block = rows.column("block")[0].as_py()
+        got: dict[int, dict[int, bytes]] = {}
         for kind, pid, data in zip(*(rows.column(k).to_pylist() for k in ("kind", "pid", "data"))):
-            got.setdefault(kind, []).append((pid, pickle.loads(data)))
-        answer = {k: np.concatenate([x for _, x in sorted(v, key=lambda r: r[0])]) for k, v in got.items() if k != STATE}
-        self.block, self.parts, self.bottom = rows.column("block")[0].as_py(), parts, total + kinds + 1
-        stream, starts, words, held, self.doc_ids = got[STATE][0][1]
-        self.stream, self.starts = stream.astype(np.int64), starts.astype(np.int64)
-        self.held = held
-        lengths = np.diff(np.r_[self.starts, len(self.stream)])
-        self.train = np.repeat(~held, lengths)
+            got.setdefault(kind, {})[pid] = data
+        stream, lengths, self.words, held, self.doc_ids, self.null_ids = unpack(got[STATE][0])
+        self.stream, lengths, self.held = signed(stream), signed(lengths), held.astype(bool)
+        self.starts = np.cumsum(lengths) - lengths
+        self.train = np.repeat(~self.held, lengths)
         self.inner = np.ones(len(self.stream), bool)
         self.inner[self.starts] = False
-        none = np.zeros(len(words), np.int64)
-        level = Level(len(self.stream), np.arange(len(self.stream)), self.stream, words, np.arange(len(words)), none, none, self.train & self.inner, parts)
-        self.levels, self.fresh = [level], level  # the last one has not been counted yet
+        none = np.empty(0, np.int64)
+        level = Level(self.stream, none, np.arange(len(self.words)), np.bincount(self.stream, self.train & self.inner, len(self.words)).astype(np.int64))
+        level.context = np.zeros(len(self.words), np.int64)
+        self.levels: list[Level] = []
+        self.left: list[np.ndarray] = []  # weight of the failure arc of each state, by length of the states
         for k in range(1, counted + 1):
-            counts = answer.get(k, np.empty(0, np.int64))
             if k == 1:
-                self.words_at = np.abs(counts).astype(np.int64)[level.at]  # the count of each token's word
-            level.keep(counts, max(LEAST_COUNT, least[k > 1] * total), xxhash.xxh64_intdigest(END) if k == 1 else None)
-            if k == 1:
-                level.last = np.arange(len(level.key))
-            if k < order:
-                level = self.fresh = self.next(level)
-                self.levels.append(level)
-        self.levels = self.levels[:counted]
-        self.weight = {k - WEIGHTS: x for k, x in answer.items() if k > WEIGHTS}
-
-    def next(self, below: Level) -> Level:
-        """Sequences one word longer, both of whose parts are known."""
+                self.dealt_words()
+                level.count, level.gid = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+                for pid, here in self.word_slices:
+                    level.count[here], level.gid[here] = map(signed, unpack(got[k][pid]))
+                self.words_at = level.count[self.stream]
+            else:
+                level = self.next()
+                level.count, level.gid = np.zeros(len(level.n), np.int64), np.zeros(len(level.n), np.int64)
+                states = len(self.levels[-1].count)
+                kept, arcs = np.zeros(states), np.zeros(states)
+                for pid, here in slices(self.group_pid):
+                    count, gid, s, m = unpack(got[k][pid])
+                    mine = slice(self.group_start[here.start], self.group_start[here.stop])
+                    level.count[mine], level.gid[mine] = count, np.cumsum(signed(gid)) * parts + pid
+                    kept += np.bincount(self.group_context[here], s, states)
+                    arcs += np.bincount(self.group_context[here], m, states)
+                c = self.levels[-1].count
+                self.left.append((c - kept + DISCOUNT * arcs) / np.maximum(c, 1))
+            level.keep(least)
+            self.levels.append(level)
+
+    def dealt_words(self) -> None:
+        """The block's words in the order in which they are sent."""
+        pid = (self.words >> np.uint64(32)) % np.uint64(self.parts)
+        by = np.lexsort((self.words, pid))
+        self.word_slices = [(p, by[here]) for p, here in slices(pid[by].astype(np.int64))]
+
+    def next(self) -> Level:
+        """Sequences one word longer, of a known state and a known word, in the order in which they are sent; and the groups, by state and split, that they make."""
+        below, first = self.levels[-1], self.levels[0]
         before = np.r_[-1, below.at[:-1]]
-        at = np.flatnonzero((before >= 0) & (below.at >= 0) & self.inner)
-        n = max(1, len(below.key))
-        code, number = np.unique(before[at] * n + below.at[at], return_inverse=True)
-        context, suffix = code // n, code % n
-        last = below.last[suffix]
-        return Level(len(self.stream), at, number, longer(below.key[context], self.levels[0].key[last]), last, context, suffix, self.train[at], self.parts)
-
-    def probability(self, k: int) -> np.ndarray:
-        """Of the last word of each sequence of length k, after the others."""
-        level = self.levels[k - 1]
-        return (level.c + 1) / self.bottom if k == 1 else (level.c - DISCOUNT) / self.levels[k - 2].c[level.context]
-
-    def dealt(self, kind: int, key: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-        cuts = np.searchsorted(part_of(key, self.parts), np.arange(self.parts + 1))
-        for pid in np.flatnonzero(np.diff(cuts)).tolist():
-            here = slice(cuts[pid], cuts[pid + 1])
-            yield self.block, kind, pid, (key[here], *(v[here] for v in values))
-
-    def messages(self, order: int) -> pa.Table:
-        """What the next round is asked: counts of the next length, and the sums of the contexts of the last length that is counted."""
-        out, k = [], len(self.levels)
-        if k < order:
-            out += self.dealt(k + 1, self.fresh.key, narrow(self.fresh.n))
-        if k > 1:
-            top, below = self.levels[-1], self.levels[-2]
-            own, n = top.owner, len(below.key)
-            arcs = np.bincount(top.context[own], top.c[own] - DISCOUNT, n)
-            lower = np.bincount(top.context[own], self.probability(k - 1)[top.suffix[own]], n)
-            out += self.dealt(WEIGHTS + k - 1, below.key, arcs, lower, np.where(arcs > 0, below.c, 0))
+        before[~self.inner] = -1
+        used = np.unique(before[before >= 0])
+        share = below.count[used] * (self.parts * SPLIT) // max(1, self.total)
+        splits = np.ones(len(below.count), np.int64)
+        splits[used] = 1 + share
+        group_context = np.repeat(used, splits[used])
+        first_group = np.zeros(len(below.count), np.int64)
+        first_group[used] = np.cumsum(splits[used]) - splits[used]
+        group_sub = np.arange(len(group_context)) - first_group[group_context]
+        group_gid = below.gid[group_context]
+        group_pid = (mixed(group_gid + (group_sub << 40)) >> np.uint64(20)).astype(np.int64) % self.parts
+        by = np.lexsort((group_sub, group_gid, group_pid))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.group_context, self.group_pid, self.group_gid, self.group_sub = group_context[by], group_pid[by], group_gid[by], group_sub[by]
+        at = np.flatnonzero((before >= 0) & (first.at >= 0))
+        n = len(first.gid)
+        code, number = np.unique(before[at] * n + first.at[at], return_inverse=True)
+        context, word = code // max(1, n), code % max(1, n)
+        gid = first.gid[word]
+        sub = (mixed(gid) >> np.uint64(8)).astype(np.int64) % splits[context]
+        group = rank[first_group[context] + sub]
+        order = np.lexsort((gid, group))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        number = rank[number]
+        positions = np.full(len(self.stream), -1, np.int64)
+        positions[at] = number
+        self.group_start = np.r_[0, np.cumsum(np.bincount(group, minlength=len(by)))]
+        return Level(positions, context[order], word[order], np.bincount(number, self.train[at], len(code)).astype(np.int64))
+
+    def messages(self) -> pa.Table:
+        """What the next round is asked."""
+        if not self.levels:
+            self.dealt_words()
+            n = np.bincount(self.stream, self.train & self.inner, len(self.words)).astype(np.int64)
+            return rows_of([(self.block, 1, pid, pack(self.words[here], n[here])) for pid, here in self.word_slices])
+        level, out = self.next(), []
+        word = self.levels[0].gid[level.word]
+        for pid, here in slices(self.group_pid):
+            starts = self.group_start[here.start : here.stop + 1]
+            mine = slice(starts[0], starts[-1])
+            gid = self.group_gid[here]
+            out.append((self.block, len(self.levels) + 1, pid, pack(np.diff(gid, prepend=0), self.group_sub[here], np.diff(starts), word[mine], level.n[mine])))
         return rows_of(out)
 
-    def scores(self, total: int) -> pa.Table:
-        root = np.log10((self.words_at + 1) / self.bottom)
-        p = root
-        for k in range(2, len(self.levels) + 1):
-            level, below = self.levels[k - 1], self.levels[k - 2]
+    def scores(self) -> pa.Table:
+        p = root = (self.words_at + 1) / self.bottom
+        for level, below, left in zip(self.levels[1:], self.levels, self.left):
             before = np.r_[-1, below.at[:-1]]
-            fail = np.append(self.weight.get(k - 1, ()), 0.0)[before] + p
-            p = np.where(level.at >= 0, np.append(np.log10(self.probability(k)), 0.0)[level.at], fail)
+            p = np.append(left, 1.0)[before] * p
+            known = level.at >= 0
+            p[known] += ((level.count - DISCOUNT) / below.count[level.context])[level.at[known]]
         each = lambda x: np.add.reduceat(np.where(self.inner, x, 0), self.starts)
         n = each(np.ones(len(self.stream), np.int64))
-        return pa.table({"doc_id": pa.array(self.doc_ids, pa.int64()), "held_out": pa.array(self.held), "n_tokens": pa.array(n), "n_known": pa.array(each((self.words_at > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(each(root)), "score": pa.array(each(p))})
-
-
-def add_up(rows: pa.Table) -> pa.Table:
-    """The rows of one kind for one part of the table: sums over all blocks, for each block in the order it asked; for words also a row (block -1) of totals."""
-    kind, pid = rows.column("kind")[0].as_py(), rows.column("pid")[0].as_py()
-    asked = sorted(((b, pickle.loads(x)) for b, x in zip(rows.column("block").to_pylist(), rows.column("data").to_pylist())), key=lambda r: r[0])
-    key, *values = (np.concatenate(x) for x in zip(*(x for _, x in asked)))
-    by = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(key[by]) != 0])
-    sizes = np.diff(np.r_[first, len(by)])
-    out, answers = [], None
-    if kind < WEIGHTS:
-        c = np.add.reduceat(values[0][by].astype(np.int64), first)
-        if kind == 1:
-            out.append((-1, kind, pid, (int(c.sum()), int((c > 0).sum()))))
-        answers = np.empty(len(by), np.int32 if c.max() < 1 << 31 else np.int64)
-        answers[by] = np.repeat(c, sizes)
-        answers[by[first]] *= -1
-        if kind > 1:
-            answers[np.abs(answers) < LEAST_COUNT] = 0
-    else:
-        arcs, lower = (np.add.reduceat(v[by], first) for v in values[:2])
-        n = np.maximum(np.maximum.reduceat(values[2][by], first), 1)
-        weight = np.log10(np.maximum(1 - arcs / n, 1e-12) / np.maximum(1 - lower, 1e-12))
-        answers = np.empty(len(by))
-        answers[by] = np.repeat(weight, sizes)
-    ends = np.cumsum([len(x[0]) for _, x in asked]).tolist()
-    out += [(b, kind, pid, narrow(answers[lo:hi])) for (b, _), lo, hi in zip(asked, [0, *ends], ends)]
-    return rows_of(out)
-
-
-def score_documents(docs: DataFrame, held_out, order: int = ORDER, least_word: float = LEAST_WORD, least_gram: float = LEAST_GRAM) -> DataFrame:
+        ids = pa.array(signed(self.doc_ids), mask=self.null_ids.astype(bool))
+        return pa.table({"doc_id": ids, "held_out": pa.array(self.held), "n_tokens": pa.array(n), "n_known": pa.array(each((self.words_at > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), self.total, np.int64)), "base_score": pa.array(each(np.log10(root))), "score": pa.array(each(np.log10(p)))})
+
+
+def add_words(pid: int, blocks: list[int], data: list[bytes], parts: int) -> Iterator[tuple]:
+    """Counts of words over all blocks, and their numbers, small ones for frequent words; the totals go to block -1."""
+    asked = [unpack(x) for x in data]
+    word, n = (np.concatenate(x) for x in zip(*asked))
+    distinct, number = np.unique(word, return_inverse=True)
+    c = np.bincount(number, n, len(distinct)).astype(np.int64)
+    rank = np.empty(len(c), np.int64)
+    rank[np.argsort(-c, kind="stable")] = np.arange(len(c))
+    yield -1, 1, pid, pack(np.array([c.sum(), (c > 0).sum()]))
+    at = 0
+    for block, (w, _) in zip(blocks, asked):
+        here = number[at : at + len(w)]
+        yield block, 1, pid, pack(c[here], rank[here] * parts + pid)
+        at += len(w)
+
+
+def add_longer(kind: int, pid: int, blocks: list[int], data: list[bytes], least: int) -> Iterator[tuple]:
+    """Counts of longer sequences over all blocks, their numbers, and the sums and numbers of the arcs of each state."""
+    asked = [unpack(x) for x in data]
+    gid = np.concatenate([np.cumsum(x[0].view(np.int64) if x[0].dtype.itemsize == 8 else signed(x[0])) for x in asked])
+    sub, size, word, n = (np.concatenate([signed(x[k]) for x in asked]) for k in range(1, 5))
+    _, group = np.unique(gid * (int(sub.max()) + 1) + sub, return_inverse=True)
+    groups = int(group.max()) + 1
+    of = np.repeat(group, size)
+    code, number = np.unique(of * (int(word.max(initial=0)) + 1) + word, return_inverse=True)
+    c = np.bincount(number, n, len(code)).astype(np.int64)
+    kept = c >= least
+    index = np.cumsum(kept) - kept
+    own = code // (int(word.max(initial=0)) + 1)
+    s, m = np.bincount(own, c * kept, groups).astype(np.int64), np.bincount(own, kept, groups).astype(np.int64)
+    at = where = 0
+    for block, x in zip(blocks, asked):
+        g, e = group[at : at + len(x[2])], number[where : where + len(x[3])]
+        yield block, kind, pid, pack(c[e], np.diff(index[e], prepend=0), s[g], m[g])
+        at, where = at + len(x[2]), where + len(x[3])
+
+
+def score_documents(docs: DataFrame, held_out, order: int = ORDER, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs: doc_id, text. held_out: boolean column; the model learns from the other documents only."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    size = input_bytes(docs)
-    n_blocks, parts = max(64, -(-size // BLOCK_BYTES)), max(64, -(-size // PART_BYTES))
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    known = [stage(d.groupBy("block").applyInArrow(read_block, ROWS), "lm-blocks")]
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    parts = max(64, -(-input_bytes(docs) // PART_BYTES))
+    known = [stage(d.mapInArrow(read_blocks(block_bytes), ROWS), "lm-blocks")]
     total = kinds = 0
-    least = least_word, least_gram
 
-    def asking(counted: int):
-        return lambda rows: Block(rows, parts, counted, order, total, kinds, least).messages(order)
+    def asking(counted: int, total: int, kinds: int):
+        return lambda rows: Block(rows, parts, counted, total, kinds, least).messages()
+
+    def adding(rows: pa.Table) -> pa.Table:
+        kind, pid = rows.column("kind")[0].as_py(), rows.column("pid")[0].as_py()
+        asked = sorted(zip(rows.column("block").to_pylist(), rows.column("data").to_pylist()))
+        blocks, data = [b for b, _ in asked], [x for _, x in asked]
+        return rows_of(list(add_words(pid, blocks, data, parts) if kind == 1 else add_longer(kind, pid, blocks, data, least)))
 
-    for k in range(order + 1 if order > 1 else 1):
-        asked = reduce(DataFrame.unionByName, known).groupBy("block").applyInArrow(asking(k), ROWS)
-        got = stage(asked.groupBy("kind", "pid").applyInArrow(add_up, ROWS), "lm-answers")
+    for k in range(order):
+        asked = reduce(DataFrame.unionByName, known).groupBy("block").applyInArrow(asking(k, total, kinds), ROWS)
+        got = stage(asked.groupBy("kind", "pid").applyInArrow(adding, ROWS), "lm-answers")
         known.append(got.where("block >= 0"))
         del asked
         docs.sparkSession.sparkContext._jvm.System.gc()  # what rounds before have shuffled leaves the disks
         if k == 0:
-            sums = [pickle.loads(r.data) for r in got.where("block < 0").collect()]  # one row a part
-            total, kinds = (sum(x[i] for x in sums) for i in range(2))
+            sums = [unpack(bytes(r.data))[0] for r in got.where("block < 0").collect()]  # one row a part
+            total, kinds = (sum(int(x[i]) for x in sums) for i in range(2))
 
     def answer(rows: pa.Table) -> pa.Table:
-        return Block(rows, parts, order, order, total, kinds, least).scores(total)
+        return Block(rows, parts, order, total, kinds, least).scores()
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return reduce(DataFrame.unionByName, known).groupBy("block").applyInArrow(answer, schema)
