@@ -299,9 +299,33 @@ def test_automaton_is_edit_distance(spark, edits):
         assert r.ok == (distance(r.s, r.t) <= edits), (r.s, r.t)
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_near_lines_lose_nothing(spark, edits, monkeypatch):
+def near(s, t, edits):
+    row = list(range(len(t) + 1))
+    for i, c in enumerate(s, 1):
+        row, old = [i], row
+        for j, d in enumerate(t, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (c != d)))
+    return row[-1] <= edits
+
+
+def brute_lines(docs, edits, least_chars, least_near):
+    """The text that stays of each document: a line goes if an earlier one is equal, or near and both are long enough."""
+    seen, want = [], {}
+    for i, t in docs:
+        keep = []
+        for line in t.split("\n"):
+            again = line in seen or (len(line) >= least_near and any(len(s) >= least_near and abs(len(s) - len(line)) <= edits and near(line, s, edits) for s in seen))
+            if not again or len(line) < least_chars:
+                keep.append(line)
+            seen.append(line)
+        want[i] = "\n".join(keep)
+    return want
+
+
+@pytest.mark.parametrize("edits, few", [(1, 16), (1, 1), (2, 16), (3, 16)])
+def test_near_lines_lose_nothing(spark, edits, few, monkeypatch):
     monkeypatch.setattr(line_dedup, "SEGMENT_CHARS", 4)
+    monkeypatch.setattr(line_dedup, "FEW", few)
     rng = random.Random(7)
     lines = []
     for _ in range(40):
@@ -314,25 +338,25 @@ def test_near_lines_lose_nothing(spark, edits, monkeypatch):
     rng.shuffle(lines)
     docs = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(len(lines) // 3)]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), edits).collect()}
+    assert got == brute_lines(docs, edits, line_dedup.LEAST_CHARS, 4 * (edits + 1))
 
-    def close(s, t):
-        row = list(range(len(t) + 1))
-        for i, c in enumerate(s, 1):
-            row, old = [i], row
-            for j, d in enumerate(t, 1):
-                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (c != d)))
-        return row[-1] <= edits
 
-    seen, want = [], {}
-    for i, t in docs:
-        keep = []
-        for line in t.split("\n"):
-            near = line in seen or (len(line) >= 4 * (edits + 1) and any(len(s) >= 4 * (edits + 1) and close(line, s) for s in seen))
-            if not near or len(line) < line_dedup.LEAST_CHARS:
-                keep.append(line)
-            seen.append(line)
-        want[i] = "\n".join(keep)
-    assert got == want
+@pytest.mark.parametrize("least_chars", [0, 10])
+def test_crowded_lines_lose_nothing(spark, least_chars):
+    """Hundreds of lines that share all but a number, a tail or an inserted character; helper columns' names in the input."""
+    rng = random.Random(3)
+    lines = [f"The committee met again to discuss item {rng.randrange(900)} of the long agenda for the year" for _ in range(150)]
+    lines += [f"All of these begin alike, whatever {''.join(rng.choice('ab') for _ in range(7))}" for _ in range(90)]
+    lines += ["x" * k + "Every line has one more of the same letter" for k in (0, 1, 2, 4)] + [f"{c}ero or one letter differs in this sentence" for c in "zZyx"]
+    lines += ["", "ab", "ab", "short", "short", "tiny line"]
+    rng.shuffle(lines)
+    docs = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(-(-len(lines) // 4))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({n: F.lit("clash") for n in ("_x", "_lines", "_kept", "_had", "_stays", "_id", "_s")})
+    got = line_dedup.dedup_lines(df, 1, least_chars)
+    assert {"_x", "_lines", "_kept", "_had", "_stays", "_id", "_s"} <= set(got.columns)
+    rows = got.collect()
+    assert {r._stays for r in rows} == {"clash"}
+    assert {r.doc_id: r.text for r in rows} == brute_lines(docs, 1, least_chars, 20)
 
 
 def test_lines_on_odd_rows(odd, none):
