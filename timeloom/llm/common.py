@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -25,14 +26,39 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives the loss of any executor."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives the loss of any executor. ``by``: a column that parts its files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """A stage table goes when the driver ends."""
+    fs, made = file_system(spark, path)
+    fs.deleteOnExit(made)
+
+
+def unstage(df: DataFrame, part: str) -> None:
+    """Delete a part (such as ``kind=1``) of a stage table that nothing reads any more."""
+    for folder in {f.rsplit(f"/{part}/", 1)[0] for f in df.inputFiles() if f"/{part}/" in f}:
+        fs, made = file_system(df.sparkSession, f"{folder}/{part}")
+        fs.delete(made, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """What finished jobs have shuffled leaves the disks once nothing refers to it: collect garbage here and in the JVM."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

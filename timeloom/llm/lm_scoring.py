@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import fold, input_bytes, stage, table
+from timeloom.llm.common import fold, free_shuffles, input_bytes, stage, table, unstage
 
 END = b"\n"  # no word can hold it
 ORDER = 3
@@ -43,6 +43,7 @@ PART_BYTES = 16 << 20
 SPLIT = 4  # a state with more than 1/SPLIT of the tokens of a part is split
 ROWS = "block long, kind int, pid int, data binary"
 STATE = 0  # kind of the rows that hold a block's documents; other kinds are lengths of sequences
+WORD_BITS = 36  # numbers of words are below 2^36
 DTYPES = ("u1", "u2", "u4", "u8", "i8", "f8")
 
 
@@ -100,8 +101,11 @@ def slices(pid: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(pid[lo]), slice(lo, hi)
 
 
-def read_blocks(limit: int):
-    """(doc_id, held_out, text) to a row of kind STATE for every ``limit`` bytes of text, numbered by task."""
+def read_blocks(limit: int, parts: int):
+    """(doc_id, held_out, text) to a row of kind STATE for every ``limit`` bytes of text, numbered by task, and its words with their counts (kind 1) by part.
+
+    Words are numbered in the order in which they are sent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -110,15 +114,25 @@ def read_blocks(limit: int):
         size = 0
 
         def done() -> pa.RecordBatch:
+            words = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))
+            pid = (words >> np.uint64(32)) % np.uint64(parts)
+            by = np.lexsort((words, pid))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
             lengths = np.array([len(x) + 2 for *_, x in docs], np.int64)  # a text starts as if an end came before
             starts = np.cumsum(lengths) - lengths
             stream = np.zeros(lengths.sum(), np.int64)
             for at, (*_, x) in zip(starts.tolist(), docs):
                 stream[at + 1 : at + 1 + len(x)] = x
-            words = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))
+            stream = rank[stream]
+            held = np.array([h for _, h, _ in docs], bool)
+            inner = np.ones(len(stream), bool)
+            inner[starts] = False
+            n = np.bincount(stream, np.repeat(~held, lengths) & inner, len(by)).astype(np.int64)
+            sent = [(block, 1, p, pack(words[by[here]], n[here])) for p, here in slices(pid[by].astype(np.int64))]
             ids = np.array([d or 0 for d, *_ in docs], np.int64)
-            state = pack(stream, lengths, words, np.array([h for _, h, _ in docs], bool), ids, np.array([d is None for d, *_ in docs], bool))
-            return rows_of([(block, STATE, 0, state)]).to_batches()[0]
+            state = pack(stream, lengths, held, ids, np.array([d is None for d, *_ in docs], bool), np.bincount(pid.astype(np.int64), minlength=parts))
+            return rows_of([(block, STATE, 0, state), *sent]).combine_chunks().to_batches()[0]
 
         for batch in batches:
             for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -135,18 +149,21 @@ def read_blocks(limit: int):
 
 
 class Level:
-    """The sequences of one length in a block: their state and last word (numbers within the block), count and number over all blocks."""
+    """The sequences of one length in a block, in the order in which they are sent: ``at``, the one that ends at each token, or -1; their state (its place
+    in the level below), the number of their last word, and their count and own number over all blocks."""
 
     def __init__(self, at: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray):
         self.at, self.context, self.word, self.n = at, context, word, n
-        self.count = self.gid = np.empty(0, np.int64)
+        self.count, self.gid = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
 
     def keep(self, least: int) -> None:
         """Only what occurs often enough stays."""
         some = self.count >= least
+        if some.all():
+            return
         number = np.append(np.where(some, np.cumsum(some) - 1, -1), -1)
         self.at = number[self.at]
-        for name in ("context", "word", "n", "count", "gid"):
+        for name in ("context", "word", "count", "gid"):
             setattr(self, name, getattr(self, name)[some])
 
 
@@ -159,58 +176,47 @@ class Block:
         got: dict[int, dict[int, bytes]] = {}
         for kind, pid, data in zip(*(rows.column(k).to_pylist() for k in ("kind", "pid", "data"))):
             got.setdefault(kind, {})[pid] = data
-        stream, lengths, self.words, held, self.doc_ids, self.null_ids = unpack(got[STATE][0])
-        self.stream, lengths, self.held = signed(stream), signed(lengths), held.astype(bool)
+        stream, lengths, held, self.doc_ids, self.null_ids, words = unpack(got[STATE][0])
+        stream, lengths, self.held = signed(stream), signed(lengths), held.astype(bool)
         self.starts = np.cumsum(lengths) - lengths
         self.train = np.repeat(~self.held, lengths)
-        self.inner = np.ones(len(self.stream), bool)
+        self.inner = np.ones(len(stream), bool)
         self.inner[self.starts] = False
-        none = np.empty(0, np.int64)
-        level = Level(self.stream, none, np.arange(len(self.words)), np.bincount(self.stream, self.train & self.inner, len(self.words)).astype(np.int64))
-        level.context = np.zeros(len(self.words), np.int64)
-        self.levels: list[Level] = []
+        ends = np.cumsum(signed(words))
+        none = np.empty(int(ends[-1]), np.int64)
+        level = Level(stream, none, none, none)
+        for pid in np.flatnonzero(words).tolist():
+            level.count[ends[pid] - words[pid] : ends[pid]], level.gid[ends[pid] - words[pid] : ends[pid]] = unpack(got[1][pid])
+        level.word = level.gid
+        self.words_at = level.count[stream]
+        level.keep(least)
+        self.levels = [level]
         self.left: list[np.ndarray] = []  # weight of the failure arc of each state, by length of the states
-        for k in range(1, counted + 1):
-            if k == 1:
-                self.dealt_words()
-                level.count, level.gid = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
-                for pid, here in self.word_slices:
-                    level.count[here], level.gid[here] = map(signed, unpack(got[k][pid]))
-                self.words_at = level.count[self.stream]
-            else:
-                level = self.next()
-                level.count, level.gid = np.zeros(len(level.n), np.int64), np.zeros(len(level.n), np.int64)
-                states = len(self.levels[-1].count)
-                kept, arcs = np.zeros(states), np.zeros(states)
-                for pid, here in slices(self.group_pid):
-                    count, gid, s, m = unpack(got[k][pid])
-                    mine = slice(self.group_start[here.start], self.group_start[here.stop])
-                    level.count[mine], level.gid[mine] = count, np.cumsum(signed(gid)) * parts + pid
-                    kept += np.bincount(self.group_context[here], s, states)
-                    arcs += np.bincount(self.group_context[here], m, states)
-                c = self.levels[-1].count
-                self.left.append((c - kept + DISCOUNT * arcs) / np.maximum(c, 1))
+        for k in range(2, counted + 1):
+            level, states = self.next(), len(self.levels[-1].count)
+            kept, arcs = np.zeros(states), np.zeros(states)
+            for pid, here in slices(self.group_pid):
+                count, gid, s, m = unpack(got[k][pid])
+                mine = slice(self.group_start[here.start], self.group_start[here.stop])
+                level.count[mine], level.gid[mine] = count, np.cumsum(signed(gid)) * parts + pid
+                np.add.at(kept, self.group_context[here], s)
+                np.add.at(arcs, self.group_context[here], m)
+            c = self.levels[-1].count
+            self.left.append((c - kept + DISCOUNT * arcs) / np.maximum(c, 1))
             level.keep(least)
             self.levels.append(level)
 
-    def dealt_words(self) -> None:
-        """The block's words in the order in which they are sent."""
-        pid = (self.words >> np.uint64(32)) % np.uint64(self.parts)
-        by = np.lexsort((self.words, pid))
-        self.word_slices = [(p, by[here]) for p, here in slices(pid[by].astype(np.int64))]
-
     def next(self) -> Level:
         """Sequences one word longer, of a known state and a known word, in the order in which they are sent; and the groups, by state and split, that they make."""
         below, first = self.levels[-1], self.levels[0]
         before = np.r_[-1, below.at[:-1]]
         before[~self.inner] = -1
-        used = np.unique(before[before >= 0])
-        share = below.count[used] * (self.parts * SPLIT) // max(1, self.total)
-        splits = np.ones(len(below.count), np.int64)
-        splits[used] = 1 + share
-        group_context = np.repeat(used, splits[used])
-        first_group = np.zeros(len(below.count), np.int64)
-        first_group[used] = np.cumsum(splits[used]) - splits[used]
+        known = before >= 0
+        used = np.flatnonzero(np.bincount(before[known], minlength=len(below.count)))
+        splits = np.zeros(len(below.count), np.int64)
+        splits[used] = 1 + below.count[used] * (self.parts * SPLIT) // max(1, self.total)
+        group_context = np.repeat(np.arange(len(splits)), splits)
+        first_group = np.cumsum(splits) - splits
         group_sub = np.arange(len(group_context)) - first_group[group_context]
         group_gid = below.gid[group_context]
         group_pid = (mixed(group_gid + (group_sub << 40)) >> np.uint64(20)).astype(np.int64) % self.parts
@@ -218,35 +224,25 @@ class Block:
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
         self.group_context, self.group_pid, self.group_gid, self.group_sub = group_context[by], group_pid[by], group_gid[by], group_sub[by]
-        at = np.flatnonzero((before >= 0) & (first.at >= 0))
-        n = len(first.gid)
-        code, number = np.unique(before[at] * n + first.at[at], return_inverse=True)
-        context, word = code // max(1, n), code % max(1, n)
-        gid = first.gid[word]
-        sub = (mixed(gid) >> np.uint64(8)).astype(np.int64) % splits[context]
-        group = rank[first_group[context] + sub]
-        order = np.lexsort((gid, group))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        number = rank[number]
-        positions = np.full(len(self.stream), -1, np.int64)
+        at = np.flatnonzero(known & (first.at >= 0))
+        context, gid = before[at], first.gid[first.at[at]]
+        group = first_group[context]
+        hot = np.flatnonzero(splits[context] > 1)
+        group[hot] += (mixed(gid[hot]) >> np.uint64(8)).astype(np.int64) % splits[context[hot]]
+        code, number = np.unique((rank[group] << WORD_BITS) | gid, return_inverse=True)
+        positions = np.full(len(before), -1, np.int64)
         positions[at] = number
+        group = code >> WORD_BITS
         self.group_start = np.r_[0, np.cumsum(np.bincount(group, minlength=len(by)))]
-        return Level(positions, context[order], word[order], np.bincount(number, self.train[at], len(code)).astype(np.int64))
+        return Level(positions, self.group_context[group], code & ((1 << WORD_BITS) - 1), np.bincount(number, self.train[at], len(code)).astype(np.int64))
 
     def messages(self) -> pa.Table:
         """What the next round is asked."""
-        if not self.levels:
-            self.dealt_words()
-            n = np.bincount(self.stream, self.train & self.inner, len(self.words)).astype(np.int64)
-            return rows_of([(self.block, 1, pid, pack(self.words[here], n[here])) for pid, here in self.word_slices])
         level, out = self.next(), []
-        word = self.levels[0].gid[level.word]
         for pid, here in slices(self.group_pid):
             starts = self.group_start[here.start : here.stop + 1]
             mine = slice(starts[0], starts[-1])
-            gid = self.group_gid[here]
-            out.append((self.block, len(self.levels) + 1, pid, pack(np.diff(gid, prepend=0), self.group_sub[here], np.diff(starts), word[mine], level.n[mine])))
+            out.append((self.block, len(self.levels) + 1, pid, pack(np.diff(self.group_gid[here], prepend=0), self.group_sub[here], np.diff(starts), level.word[mine], level.n[mine])))
         return rows_of(out)
 
     def scores(self) -> pa.Table:
@@ -257,7 +253,7 @@ class Block:
             known = level.at >= 0
             p[known] += ((level.count - DISCOUNT) / below.count[level.context])[level.at[known]]
         each = lambda x: np.add.reduceat(np.where(self.inner, x, 0), self.starts)
-        n = each(np.ones(len(self.stream), np.int64))
+        n = each(np.ones(len(self.inner), np.int64))
         ids = pa.array(signed(self.doc_ids), mask=self.null_ids.astype(bool))
         return pa.table({"doc_id": ids, "held_out": pa.array(self.held), "n_tokens": pa.array(n), "n_known": pa.array(each((self.words_at > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), self.total, np.int64)), "base_score": pa.array(each(np.log10(root))), "score": pa.array(each(np.log10(p)))})
 
@@ -301,9 +297,11 @@ def add_longer(kind: int, pid: int, blocks: list[int], data: list[bytes], least:
 
 def score_documents(docs: DataFrame, held_out, order: int = ORDER, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs: doc_id, text. held_out: boolean column; the model learns from the other documents only."""
+    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     parts = max(64, -(-input_bytes(docs) // PART_BYTES))
-    known = [stage(d.mapInArrow(read_blocks(block_bytes), ROWS), "lm-blocks")]
+    read = stage(d.mapInArrow(read_blocks(block_bytes, parts), ROWS), "lm-blocks", by="kind").select("block", "kind", "pid", "data")
+    known = [read.where(F.col("kind") == STATE)]
     total = kinds = 0
 
     def asking(counted: int, total: int, kinds: int):
@@ -316,14 +314,15 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, least: int =
         return rows_of(list(add_words(pid, blocks, data, parts) if kind == 1 else add_longer(kind, pid, blocks, data, least)))
 
     for k in range(order):
-        asked = reduce(DataFrame.unionByName, known).groupBy("block").applyInArrow(asking(k, total, kinds), ROWS)
+        asked = reduce(DataFrame.unionByName, known).groupBy("block").applyInArrow(asking(k, total, kinds), ROWS) if k else read.where("kind = 1")
         got = stage(asked.groupBy("kind", "pid").applyInArrow(adding, ROWS), "lm-answers")
         known.append(got.where("block >= 0"))
         del asked
-        docs.sparkSession.sparkContext._jvm.System.gc()  # what rounds before have shuffled leaves the disks
+        free_shuffles(spark)
         if k == 0:
             sums = [unpack(bytes(r.data))[0] for r in got.where("block < 0").collect()]  # one row a part
             total, kinds = (sum(int(x[i]) for x in sums) for i in range(2))
+            unstage(read, "kind=1")
 
     def answer(rows: pa.Table) -> pa.Table:
         return Block(rows, parts, order, total, kinds, least).scores()
