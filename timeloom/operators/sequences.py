@@ -81,31 +81,35 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = "ro
     return df.withColumn(out, F.format_string(form, F.row_number().over(W.partitionBy(*keys).orderBy(*order))))
 
 
-def absorb_short(df: DataFrame, keys: list[str], least: float, most_gap: float, most_span: float) -> DataFrame:
+def absorb_short(df: DataFrame, keys: list[str], least: float, most_gap: float, most_span: float, text: str | None = None) -> DataFrame:
     """Intervals (start, end) shorter than ``least`` join the nearer neighbour (of equal ones the left) if gap and joined span allow, again and again.
 
-    Returns keys, start, end and n (rows joined). Mutates step by step, so one key is one task.
+    Returns keys, start, end and n (rows joined), and ``text`` put together if it is named. Mutates step by step, so one key is one task.
     """
     head = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [[r.start, r.end, 1] for r in pdf.sort_values(["start", "end"], kind="stable").itertuples()]
+        pdf = pdf.sort_values(["start", "end"], kind="stable")
+        texts = pdf[text].tolist() if text else [""] * len(pdf)
+        rows = [[s, e, 1, t] for s, e, t in zip(pdf["start"], pdf["end"], texts)]
         i = 0
         while i < len(rows):
-            s, e, n = rows[i]
+            s, e = rows[i][:2]
             if e - s < least:
                 left = s - rows[i - 1][1] if i and e - rows[i - 1][0] <= most_span else float("inf")
                 right = rows[i + 1][0] - e if i + 1 < len(rows) and rows[i + 1][1] - s <= most_span else float("inf")
                 if min(left, right) <= most_gap:
                     j = i - 1 if left <= right else i
-                    rows[j : j + 2] = [[rows[j][0], max(rows[j][1], rows[j + 1][1]), rows[j][2] + rows[j + 1][2]]]
+                    a, b = rows[j], rows[j + 1]
+                    rows[j : j + 2] = [[a[0], max(a[1], b[1]), a[2] + b[2], a[3] + b[3]]]
                     i = j
                     continue
             i += 1
-        out = pd.DataFrame(rows, columns=["start", "end", "n"])
-        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "start", "end", "n"]]
+        out = pd.DataFrame(rows, columns=["start", "end", "n", text or "_t"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "start", "end", "n", *([text] if text else [])]]
 
-    return df.groupBy(*keys).applyInPandas(run, f"{head}, start {df.schema['start'].dataType.simpleString()}, end {df.schema['end'].dataType.simpleString()}, n bigint")
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    return df.groupBy(*keys).applyInPandas(run, f"{head}, start {kind('start')}, end {kind('end')}, n bigint" + (f", `{text}` string" if text else ""))
 
 
 def pick_apart(df: DataFrame, keys: list[str], score: str, ident: str, k: int) -> DataFrame:
