@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,9 +55,11 @@ def unstage(df: DataFrame, part: str) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """What finished jobs have shuffled leaves the disks once nothing refers to it: collect garbage here and in the JVM."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """What finished jobs have shuffled leaves the disks once nothing refers to it: collect garbage here and in the JVM, where the first round only enqueues what the second frees."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
