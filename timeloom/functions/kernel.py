@@ -24,29 +24,31 @@ def lcs(a: list, b: list) -> int:
 
 
 def balanced(text: str) -> list[str]:
-    """All outermost ``{...}`` with matching braces; braces in JSON strings do not count."""
-    out, depth, begin, quoted, escaped = [], 0, 0, False, False
+    """All ``{...}`` with matching braces, inner ones too, in the order in which they end; braces in JSON strings do not count. An opening brace without an end is passed over."""
+    out, opened, quoted, escaped = [], [], False, False
     for i, c in enumerate(text):
         if quoted:
             escaped, quoted = c == "\\" and not escaped, not (c == '"' and not escaped)
-        elif c == '"' and depth:
+        elif c == '"' and opened:
             quoted = True
         elif c == "{":
-            begin = i if not depth else begin
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth:
-                out.append(text[begin : i + 1])
+            opened.append(i)
+        elif c == "}" and opened:
+            out.append(text[opened.pop() : i + 1])
     return out
 
 
+def without_commas(text: str) -> str:
+    """JSON text without commas before a closing bracket, but for those in strings."""
+    return "".join(x if x.startswith('"') else re.sub(r",(?=\s*[}\]])", "", x) for x in re.split(r'("(?:[^"\\]|\\.)*")', text))
+
+
 def loose(text: str | None, needed: tuple[str, ...] = ()) -> str | None:
     """Strict JSON of the first readable object in a loose text (fences, prose, trailing commas); the longest is tried first."""
     if text is None:
         return None
     for part in [text, *sorted(balanced(text), key=len, reverse=True)]:
-        for form in (part, re.sub(r",(\s*[}\]])", r"\1", part)):
+        for form in (part, without_commas(part)):
             try:
                 got = json.loads(form)
             except ValueError:
