@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,12 +79,23 @@ def test_cascade_is_exact(spark, most):
     assert len(got) == 3001 and all(r.hit == (r.key in listed) for r in got)
 
 
+def test_the_universe_counts_for_the_size(spark):
+    """Few listed keys and many others: level 1 holds the errors among the others, so filters are sharded although the list is small."""
+    u = spark.range(20_000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"))
+    listed = spark.createDataFrame([(f"h{k}",) for k in (1, 5, 9)], "key string")
+    c = url_filters.Cascade(u, listed, most_bytes=200, shard_bytes=100)
+    assert c.shards > 1
+    got = c.flag(u.select("key", F.array("key").alias("ks"), F.lit(1).alias("_row"), F.lit(1).alias("_l0")), "ks", "hit")
+    assert {"_row", "_l0"} <= set(got.columns) and {r.key for r in got.where("hit").collect()} == {"h1", "h5", "h9"} and got.count() == 20_000
+
+
 def test_urls_on_odd_rows(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://"), (4, "HTTP://A.SPAM.x:80?q"), (5, "x://spam.x/en/"), (6, "x://com/"), (7, "x://com")]
     pages = spark.createDataFrame(rows, "page_id int, url string").withColumns({"host": F.lit(1), "verdict": F.lit(2)})
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.filter_urls(pages, spark.createDataFrame([("Spam.x",)], "key string")).collect()}
     assert got == {1: ("", "", None, "allow"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("a.spam.x:80", "", None, "allow"), 5: ("spam.x", "/en/", None, "block"), 6: ("com", "/", "com/", "allow"), 7: ("com", "", None, "allow")}
     assert url_filters.filter_urls(pages, spark.createDataFrame([], "key string")).where("verdict = 'block'").count() == 0
+    assert url_filters.filter_urls(pages.limit(0), spark.createDataFrame([("Spam.x",)], "key string")).count() == 0
 
 
 # quality classifier and language
@@ -263,6 +275,45 @@ def test_mix_keeps_all_and_meets_quotas(spark, monkeypatch):
     assert 1900 < sum(r.n_tokens for r in few) <= 2000
 
 
+def test_equal_rows_keep_the_budget(spark):
+    """Seven equal rows of 10 tokens and many others: no more than each source's quota is taken."""
+    rows = [(1, "w " * 10, "a")] * 7 + [(100 + i, "w " * 10, "a") for i in range(60)] + [(1000 + i, "w " * 10, "b") for i in range(67)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({n: F.lit("clash") for n in ("_s", "_h", "_run", "_copies")})
+    for budget in (1000.0, 100.0, 333.0):
+        got = mixing.mix(df, budget=budget, limit=None).collect()
+        for source in "ab":
+            took = sum(r.n_tokens for r in got if r.source == source)
+            assert budget / 2 - 10 < took <= budget / 2
+        assert {r._run for r in got} == {"clash"}
+
+
+def test_mix_matches_plain_mixing(spark, sf, monkeypatch):
+    """Weights, quotas and every source's rows by plain Python over the whole table; positions say in which order the last epoch takes them."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(mixing, "GROUP", 2)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+    size = {}
+    for r in docs:
+        size.setdefault(r.source, []).append(len((r.text or "").encode().split()))
+    names = sorted(size)
+    tokens = [float(sum(size[n])) for n in names]
+    alpha = mixing.solve(tokens)
+    w = mixing.weights(tokens, alpha)
+    total = max(t / x for t, x in zip(tokens, w))
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    for name, t, x in zip(names, tokens, w):
+        mine = [r for r in got if r.source == name]
+        assert abs(mine[0].weight - x) < 1e-8
+        quota = np.ceil(x * total - 1e-3)
+        rows = {r.doc_id: r for r in mine if r.epoch == 0}
+        whole, left = int(quota // t), quota % t
+        copies = Counter(r.doc_id for r in mine)
+        run = 0
+        for r in sorted(rows.values(), key=lambda r: (r.block, r.position)):
+            run += r.n_tokens
+            assert copies[r.doc_id] == whole + (left > 0 and run <= left) or abs(run - left) < 3
+
+
 def test_mix_on_odd_rows(odd, none):
     got = mixing.mix(odd)
     assert sum(r.epoch == 0 for r in got.collect()) == len(ODD)
@@ -528,6 +579,14 @@ def test_leaks_of_edited_and_half_copies(spark):
     assert min(want.values()) >= 0.5 and got == want
 
 
+def test_items_of_one_and_two_words(spark):
+    items = spark.createDataFrame([(1, "Gondwana"), (2, "blue whale"), (3, ""), (4, "a b c d e")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the Blue, Whale swims"), (2, "blue sky, whale"), (3, "gondwana gondwana"), (4, None), (5, "blue\n whale x blue whale")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.score) for r in decontamination.leaks(docs, items).collect())
+    assert got == [(1, 2, 1.0), (3, 1, 1.0), (5, 2, 1.0)]
+    assert list(decontamination.pieces([1, decontamination.AT_ONCE_BYTES + 5, 2])) == [(0, 1), (1, 2), (2, 3)] and list(decontamination.pieces([])) == []
+
+
 def test_leaks_on_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, "two words"), (3, "a b c d e"), (3, "a b c d e")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(odd, items).collect()) == [(5, 3)] * 4 + [(6, 3)] * 2

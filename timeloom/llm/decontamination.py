@@ -6,10 +6,12 @@ word, match 2, mismatch -1, gap -1, best local score. Windows that cannot reach
 aligned. The score is divided by that of a perfect copy; pairs with at least ``LEAST_SCORE`` are leaks. Edited and partly copied items keep
 most of the score. So every pair of that score is found that has three successive words in common.
 
+An item of one or two words is found where it stands as a whole.
+
 Items are taken in blocks of at most ``BLOCK_WORDS`` words, each of which is broadcast and meets all documents in turn; documents are read
 where they are and nothing of their text is shuffled.
 
-Defined cases. Null or empty texts leak nothing. An item of one or two words has no trigram and is not looked for. Repeated items and repeated rows
+Defined cases. Null or empty texts leak nothing. An item without words leaks nowhere. Repeated items and repeated rows
 are reported as often as they stand. Of several alignments of a document with one item the best is returned, and of equal ones the first. Other
 columns are ignored.
 """
@@ -25,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import row_hash, table
+from timeloom.llm.common import fresh, row_hash, table
 
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 200_000
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-AT_ONCE = 400
+AT_ONCE, AT_ONCE_BYTES = 400, 8 << 20  # texts that are read into one array
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -69,6 +71,10 @@ class Items:
         self.seeds, first = np.unique(key, return_index=True)
         ends = [*first[1:].tolist(), len(found)]
         self.places = [[x[1:] for x in found[lo:hi]] for lo, hi in zip(first.tolist(), ends)]  # (item, place) of each seed
+        self.short: dict[int, dict[int, list[int]]] = {1: {}, 2: {}}  # items of one and two words by their key
+        for at, ws in enumerate(self.words):
+            if len(ws) in self.short:
+                self.short[len(ws)].setdefault(int(self.pair(ws)[0]), []).append(at)
 
     def keys(self, a: np.ndarray) -> np.ndarray:
         """The trigram that starts at each position; 0 where a word is not of the items."""
@@ -78,6 +84,19 @@ class Items:
         k[(a[:-2] == 0) | (a[1:-1] == 0) | (a[2:] == 0)] = 0
         return k
 
+    def pair(self, a: np.ndarray) -> np.ndarray:
+        """A key for one or two words that stand side by side."""
+        return a if len(a) == 1 else a[:-1] * self.base + a[1:]
+
+    def whole(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Where an item of one or two words ends, and the item."""
+        for n, items in self.short.items():
+            if items and len(ids) >= n:
+                k = ids if n == 1 else np.where((ids[:-1] != 0) & (ids[1:] != 0), ids[:-1] * self.base + ids[1:], 0)
+                for p in np.flatnonzero(np.isin(k, np.fromiter(items, np.int64, len(items)))).tolist():
+                    for item in items[int(k[p])]:
+                        yield p + n - 1, item
+
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words of some texts, one after the other with two zeros between, and where each text starts."""
         ids: list[int] = []
@@ -99,6 +118,18 @@ class Items:
         return at[hit], where[hit]
 
 
+def pieces(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts that are read at once, bounded by number and size; a longer text is alone."""
+    lo = total = 0
+    for k, n in enumerate(sizes):
+        if k > lo and (k - lo == AT_ONCE or total + n > AT_ONCE_BYTES):
+            yield lo, k
+            lo, total = k, 0
+        total += n
+    if sizes:
+        yield lo, len(sizes)
+
+
 def alignments(shared, least: float):
     """(doc_id, text) to the pairs that leak."""
 
@@ -107,9 +138,16 @@ def alignments(shared, least: float):
         names = ("doc_id", "item_id", "score", "last_word")
         for batch in batches:
             out: list[tuple] = []
-            for lo in range(0, batch.num_rows, AT_ONCE):
-                docs = batch.column(0).slice(lo, AT_ONCE)
-                ids, starts = items.read(batch.column(1).slice(lo, AT_ONCE).to_pylist())
+            sizes = [0 if t is None else len(t) for t in batch.column(1).to_pylist()]
+            for lo, hi in pieces(sizes):
+                docs = batch.column(0).slice(lo, hi - lo)
+                ids, starts = items.read(batch.column(1).slice(lo, hi - lo).to_pylist())
+                seen: set[tuple[int, int]] = set()
+                for end, item in items.whole(ids):
+                    d = int(np.searchsorted(starts, end, "right")) - 1
+                    if (d, item) not in seen:
+                        seen.add((d, item))
+                        out.append((docs[d].as_py(), items.ids[item], 1.0, end - int(starts[d])))
                 at, which = items.meet(ids, items.seeds)
                 if not len(at):
                     continue
@@ -174,8 +212,9 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> Data
 
 def drop_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows whose text leaks no item, whatever other rows have their doc_id."""
-    bad = leaks(docs.select(row_hash().alias("doc_id"), "text"), items, least).select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_row", row_hash()).join(bad, "_row", "left_anti").drop("_row")
+    (row,) = fresh(docs, "row")
+    bad = leaks(docs.select(row_hash().alias("doc_id"), "text"), items, least).select(F.col("doc_id").alias(row)).distinct()
+    return docs.withColumn(row, row_hash()).join(bad, row, "left_anti").drop(row)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import row_hash, stage, table
+from timeloom.llm.common import free_shuffles, fresh, row_hash, stage, table
 from timeloom.llm.graph import components
 
 N = 5
@@ -364,6 +364,7 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     sent = d.select("text").mapInArrow(prefixes(shared, n, percent), "gram long, node long, n int, salt int")
     met = sent.repartition("gram", "salt").sortWithinPartitions("gram", "node").select("gram", "node", "n").mapInArrow(meetings(percent, FEW), "a long, b long, na int, nb int, c long")
     met = stage(met.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c")), "jaccard-met")
+    free_shuffles(spark)
     need = common_needed_sql(percent)
     least = F.least(*[F.expr(f"{need} - {prefix_rest_sql(k, percent)} + 1") for k in ("na", "nb")])
     edges = met.where(F.col("c").isNull() | (F.col("c") >= least)).select("a", "b")
@@ -410,12 +411,13 @@ def prefix_rest_sql(size: str, percent: int) -> str:
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row of each group of similar texts: that of the smallest doc_id (null is the greatest), of equal ones by hash. Texts without words all stay."""
     of_doc, whole = classes(docs, n, percent)
+    (name,) = fresh(docs, "row")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    keep = of_doc.join(whole.select("node", "component"), "node").groupBy("component").agg(F.min(rank)["row"].alias("_row")).select("_row")
-    rows = docs.withColumn("_row", row_hash())
+    keep = of_doc.join(whole.select("node", "component"), "node").groupBy("component").agg(F.min(rank)["row"].alias(name)).select(name)
+    rows = docs.withColumn(name, row_hash())
     has_word = F.coalesce(F.regexp_like("text", F.lit("[^ \\t-\\r]")), F.lit(False))
-    one = rows.where(has_word).join(keep, "_row").dropDuplicates(["_row"])
-    return one.unionByName(rows.where(~has_word)).drop("_row")
+    one = rows.where(has_word).join(keep, name).dropDuplicates([name])
+    return one.unionByName(rows.where(~has_word)).drop(name)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

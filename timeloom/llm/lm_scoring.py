@@ -299,7 +299,7 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, least: int =
     """docs: doc_id, text. held_out: boolean column; the model learns from the other documents only."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    parts = max(64, -(-input_bytes(docs) // PART_BYTES))
+    parts = max(8, -(-input_bytes(docs) // PART_BYTES))
     read = stage(d.mapInArrow(read_blocks(block_bytes, parts), ROWS), "lm-blocks", by="kind").select("block", "kind", "pid", "data")
     known = [read.where(F.col("kind") == STATE)]
     total = kinds = 0

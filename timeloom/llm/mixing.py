@@ -8,8 +8,8 @@ documents in order. Blocks of all sources are then placed by the share of their
 
 By default the budget is the least that keeps every document at least once: the source with the least weight to its tokens is taken once.
 
-Sizes. The weights are found among one row a source; all else is joins and windows over blocks, whose number of rows is bounded by
-``BLOCK_ROWS`` on average, so no source, however large, meets in one task. Only DataFrame operations are used.
+Sizes. The exponent is bisected by aggregates over one row a source, many exponents in a pass, so sources may be many. All else is joins and windows over blocks, whose number of rows is
+``BLOCK_ROWS`` on average, so no source, however large, meets in one task. Rows that are equal are placed one by one. Only DataFrame operations are used.
 
 Defined cases. A null source is a source of its own; a null text has no tokens and goes with its block. A source without tokens has weight 0, and
 its documents come once if the budget is not given. Repeated rows and ties are ordered by the hash of their whole row, and what is equal in that is
@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import stage, table, words
+from timeloom.llm.common import fresh, stage, table, words
 
 LIMIT = 4.0
 BLOCK_ROWS = 2000
+GROUP = 1024  # blocks whose sums are put together first
 SEED = 11
 
 
@@ -67,41 +68,82 @@ def solve(tokens: list[float], target_entropy: float | None = None, limit: float
     return hi
 
 
+#: Exponents tried in one pass over the sources, and passes; together they bisect [0, 1] as finely as 36 halvings.
+GRID, PASSES = 64, 6
+
+
+def measures(sources: DataFrame, alphas: list[float], target_entropy: float | None, limit: float | None, budget: float | None) -> list[tuple[float, float, float, bool]]:
+    """For each exponent: the sum of powers, the least power by token, and whether it is low enough. Aggregates over the sources, however many there are."""
+    share = F.col("tokens") / F.col("total")
+    columns = []
+    for k, a in enumerate(alphas):
+        p = F.pow(share, F.lit(a))
+        columns += [F.sum(p).alias(f"z{k}"), F.sum(p * F.log(share)).alias(f"l{k}"), F.max(p / F.col("tokens")).alias(f"hi{k}"), F.min(p / F.col("tokens")).alias(f"lo{k}")]
+    r = sources.where("tokens > 0").agg(*columns).first()
+    out = []
+    for k, a in enumerate(alphas):
+        z, low, high, least = r[f"z{k}"], r[f"l{k}"], r[f"hi{k}"], r[f"lo{k}"]
+        if target_entropy is not None:
+            ok = math.log(z) - a * low / z <= target_entropy
+        else:
+            ok = limit is None or (high / z * budget if budget is not None else high / least) <= limit
+        out.append((z, least, high, ok))
+    return out
+
+
+def solve_table(sources: DataFrame, target_entropy: float | None, limit: float | None, budget: float | None) -> tuple[float, float, float]:
+    """The exponent of ``solve``, the sum of powers there and the least power by token. sources(tokens, total), at least one with tokens."""
+    tries = lambda alphas: measures(sources, alphas, target_entropy, limit, budget)
+    lo, hi = 0.0, 1.0
+    z, least, _, ok = tries([0.0])[0]
+    if ok and sources.where("tokens > 0").limit(2).count() == 2:
+        return 0.0, z, least
+    if sources.where("tokens > 0").limit(2).count() == 2:
+        for _ in range(PASSES):
+            grid = [lo + (hi - lo) * (k + 1) / GRID for k in range(GRID)]
+            first = next((k for k, m in enumerate(tries(grid)) if m[3]), GRID - 1)
+            lo, hi = (grid[first - 1] if first else lo), grid[first]
+    z, least, _, _ = tries([hi])[0]
+    return hi, z, least
+
+
 def mix(docs: DataFrame, target_entropy: float | None = None, limit: float | None = LIMIT, budget: float | None = None, n_tokens: Column | None = None) -> DataFrame:
-    """docs: doc_id, text, source and more. Adds n_tokens, weight, epoch (from 0), block and position; one row for each time a row is read."""
-    spark = docs.sparkSession
-    docs = docs.drop("n_tokens", "weight", "epoch", "block", "position")
+    """docs: doc_id, text, source and more. Adds n_tokens, weight, block, position, epoch (from 0) and place; one row for each time a row is read."""
+    docs = docs.drop("n_tokens", "weight", "epoch", "block", "position", "place")
     n_tokens = n_tokens if n_tokens is not None else F.size(words(F.col("text"))).cast("long")
-    key = F.coalesce(F.col("source"), F.lit(""))
-    ident = F.struct(F.col("doc_id").alias("_doc"), F.xxhash64(*docs.columns).alias("_sum"))
-    narrow = docs.select(key.alias("_s"), F.col("source").isNull().alias("_null"), ident.alias("_id"), n_tokens.alias("n_tokens"))
-    narrow = stage(narrow.select("_s", "_null", "_id._doc", "_id._sum", "n_tokens"), "mix-rows")
-    by_source = narrow.groupBy("_s", "_null").agg(F.sum("n_tokens").alias("tokens"), F.count("n_tokens").alias("n")).orderBy("_s", "_null").collect()  # one row a source
-    tokens = [float(r["tokens"]) for r in by_source]
-    alpha = solve(tokens, target_entropy, limit, budget) if sum(tokens) else 1.0
-    w = weights(tokens, alpha) if sum(tokens) else [0.0] * len(tokens)
-    total = budget if budget is not None else max([t / x for t, x in zip(tokens, w) if t > 0], default=0.0)
+    s, null, h, quota, every, blocks_, before, whole, left, run, copies = fresh(docs, "s", "null", "h", "quota", "all", "blocks", "before", "whole", "left", "run", "copies")
+    source = [s, null]
+    base = docs.withColumns({s: F.coalesce(F.col("source"), F.lit("")), null: F.col("source").isNull(), h: F.xxhash64(*docs.columns, F.lit(SEED)), "n_tokens": n_tokens})
+    narrow = stage(base.select(s, null, h, "n_tokens"), "mix-rows")
+    sources = stage(narrow.groupBy(*source).agg(F.sum("n_tokens").alias("tokens"), F.count("n_tokens").alias("n")), "mix-sources")
+    total = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    known = sources.withColumn("total", F.lit(float(max(total, 1))))
+    alpha, z, least = solve_table(known, target_entropy, limit, budget) if total else (1.0, 1.0, 1.0)
+    goal = budget if budget is not None else z / least
+    has = F.col("tokens") > 0
+    weight = F.when(has, F.pow(F.col("tokens") / F.col("total"), F.lit(alpha)) / z).otherwise(0.0)
     # a source's tokens in the mix, rounded up so that the source taken once is taken whole
-    plan = [(r["_s"], r["_null"], x, (math.ceil(x * total - 1e-6) if t > 0 else 0), int(t), max(1, -(-r["n"] // BLOCK_ROWS))) for r, x, t in zip(by_source, w, tokens)]
-    shares = F.broadcast(spark.createDataFrame(plan, "_s string, _null boolean, weight double, _quota long, _all long, _blocks long")) if len(plan) <= 10_000 else spark.createDataFrame(plan, "_s string, _null boolean, weight double, _quota long, _all long, _blocks long")
-    h = F.xxhash64("_doc", "_sum", F.lit(SEED))
-    dealt = narrow.withColumn("_h", h).join(shares, ["_s", "_null"]).withColumn("block", F.pmod(F.col("_h"), F.col("_blocks")))
-    blocks = dealt.groupBy("_s", "_null", "block", "_quota", "_all", "_blocks").agg(F.sum("n_tokens").alias("_here"))
-    before = F.sum("_here").over(W.partitionBy("_s", "_null").orderBy("block").rowsBetween(W.unboundedPreceding, -1))  # over blocks, not rows
-    whole = F.when(F.col("_all") > 0, F.floor(F.col("_quota") / F.col("_all"))).otherwise(F.lit(1 if budget is None else 0))
-    left = F.when(F.col("_all") > 0, F.col("_quota") % F.col("_all")).otherwise(0)
-    blocks = blocks.withColumns({"_before": F.coalesce(before, F.lit(0)), "_whole": whole, "_left": left}).select("_s", "_null", "block", "_before", "_whole", "_left", "_here")
-    within = W.partitionBy("_s", "_null", "block").orderBy("_h", "_doc", "_sum")
-    placed = dealt.join(blocks, ["_s", "_null", "block"]).withColumns({"_run": F.sum("n_tokens").over(within.rowsBetween(W.unboundedPreceding, W.currentRow)), "position": F.row_number().over(within)})
-    extra = (F.col("_left") > 0) & (F.col("_before") + F.col("_run") <= F.col("_left"))
-    copies = placed.withColumn("_copies", F.col("_whole") + extra.cast("long"))
-    chosen = copies.where("_copies > 0").select("_doc", "_sum", "n_tokens", "weight", "block", "_blocks", "position", "_copies").dropDuplicates(["_doc", "_sum"])
-    rows = docs.withColumns({"_doc2": F.col("doc_id"), "_sum2": F.xxhash64(*docs.columns)})
-    joined = rows.join(chosen, F.col("_doc2").eqNullSafe(F.col("_doc")) & (F.col("_sum2") == F.col("_sum"))).drop("_doc", "_doc2", "_sum", "_sum2")
-    out = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    plan = known.select(*source, weight.alias("weight"), F.when(has, F.ceil(weight * goal - 1e-6)).otherwise(0).cast("long").alias(quota), F.col("tokens").alias(every), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS)).cast("long").alias(blocks_))
+    block = F.pmod(F.col(h), F.col(blocks_)).alias("block")
+    here = narrow.join(plan, source).select(*source, quota, every, block, "n_tokens").groupBy(*source, quota, every, "block").agg(F.sum("n_tokens").alias("here"))
+    here = stage(here, "mix-blocks")
+    # sums over what stands before a block, in two steps: no task has more than the blocks of a group or the groups of a source
+    group = F.floor(F.col("block") / GROUP)
+    groups = here.groupBy(*source, group.alias("group")).agg(F.sum("here").alias("of_group"))
+    ahead = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.select(*source, "group", F.coalesce(F.sum("of_group").over(ahead(W.partitionBy(*source).orderBy("group"))), F.lit(0)).alias("first"))
+    inner = here.withColumn("group", group).withColumn("own", F.coalesce(F.sum("here").over(ahead(W.partitionBy(*source, "group").orderBy("block"))), F.lit(0)))
+    some = F.col(every) > 0
+    of_block = inner.join(groups, [*source, "group"]).select(*source, "block", (F.col("first") + F.col("own")).alias(before), F.when(some, F.floor(F.col(quota) / F.col(every))).otherwise(F.lit(1 if budget is None else 0)).alias(whole), F.when(some, F.col(quota) % F.col(every)).otherwise(0).alias(left))
+    within = W.partitionBy(*source, "block").orderBy(h, "doc_id")
+    dealt = base.join(plan.select(*source, "weight", blocks_), source).withColumn("block", block)
+    placed = dealt.join(of_block, [*source, "block"]).withColumns({run: F.sum("n_tokens").over(within.rowsBetween(W.unboundedPreceding, W.currentRow)), "position": F.row_number().over(within)})
+    extra = (F.col(left) > 0) & (F.col(before) + F.col(run) <= F.col(left))
+    chosen = placed.withColumn(copies, F.col(whole) + extra.cast("long")).where(F.col(copies) > 0)
+    out = chosen.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1)))
     # the share of its source that lies before a block, over all its epochs: an order in which the sources advance together
-    place = ((F.col("epoch") + F.col("block") / F.col("_blocks")) / F.col("_copies")).alias("place")
-    return out.withColumn("place", place).drop("_blocks", "_copies")
+    place = (F.col("epoch") + F.col("block") / F.col(blocks_)) / F.col(copies)
+    return out.withColumn("place", place).select(*docs.columns, "n_tokens", "weight", "block", "position", "epoch", "place")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
             "n_lines": F.size("_l").cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "n_distinct_words": F.size(F.array_distinct("_w")).cast("long"),
-            "n_stop_words": F.size(F.filter("_w", lambda w: w.isin(STOP_WORDS))).cast("long"),
+            "n_stop_words": F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
             "n_letters": n_matches(t, "\\p{L}"),
             "n_capitals": n_matches(t, "\\p{Lu}"),
             "n_pipes": F.size(F.filter("_w", lambda w: w == "|")).cast("long"),
@@ -128,7 +128,7 @@ WITH d AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines,
-    len(list_distinct(w)) AS n_kinds, len(list_filter(w, lambda x: list_contains(string_split('%STOP%', ' '), x))) AS n_stop,
+    len(list_distinct(w)) AS n_kinds, len(list_filter(w, lambda x: list_contains(string_split('%STOP%', ' '), lower(x)))) AS n_stop,
     length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS n_capitals,
     len(list_filter(w, lambda x: x = '|')) AS n_pipes, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaims
   FROM d LEFT JOIN r USING (doc_id)

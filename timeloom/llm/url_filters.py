@@ -18,12 +18,13 @@ and repeated rows are judged alike; columns of the input pass through unless the
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import LOWER, UPPER, ascii_lower, stage, table
+from timeloom.llm.common import LOWER, UPPER, ascii_lower, fresh, stage, table
 
 #: (host, path, verdict), as the contract fixes them.
 RULES = (
@@ -33,8 +34,10 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Blocked domains, with all their subdomains.
-BLOCKED = ("spam-farm.example.org", "cheap-pills.example.com", "spam-farm.example.net", "cheap-pills.example.net", "cheap-pills.example.org", "spam-farm.example.com")
+#: Families of blocked domains under each top-level domain of the pages, with all their subdomains.
+BLOCKED = tuple(f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+#: Hosts of the pages whose md5 begins so are listed too: a stand-in for a long list of single hosts, one in sixteen.
+LISTED_MD5 = "0"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HASHES = 3
 MOST_LEVELS = 64
@@ -93,8 +96,9 @@ class Cascade:
         self.spark = universe.sparkSession
         good = listed.select("key").where(F.col("key").isNotNull()).distinct().withColumn("listed", F.lit(True))
         every = stage(universe.select("key").where(F.col("key").isNotNull()).distinct().join(good, "key", "full").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "url-universe")
-        n = every.where("listed").count()
-        size = n * bits_per_key // 8 * 2  # all levels together: each further one is a small part of the one before
+        n, whole = every.agg(F.count_if("listed"), F.count("key")).first()
+        wrong = (1 - math.exp(-HASHES / bits_per_key)) ** HASHES  # share of keys that a level takes for its own
+        size = math.ceil((n + wrong * (whole - n)) / (1 - wrong) * bits_per_key / 8)  # level 0 holds the listed keys, level 1 its errors among the others, and so on
         self.shards = 1 if size <= most_bytes else -(-size // shard_bytes)
         every = every.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(self.shards)).cast("int"))
         self.levels: list[DataFrame] = []
@@ -115,17 +119,18 @@ class Cascade:
             return df.withColumn(out, F.lit(False))
         none = F.array().cast("array<bigint>")
         if self.shards == 1:
-            df = df.withColumns({f"_l{k}": made.select("words").scalar() for k, made in enumerate(self.levels)})
-            verdict = F.coalesce(F.exists(keys, lambda x: self._walk(x, [F.col(f"_l{k}") for k in range(len(self.levels))])), F.lit(False))
-            return df.withColumn(out, verdict).drop(*[f"_l{k}" for k in range(len(self.levels))])
+            names = fresh(df, *[f"l{k}" for k in range(len(self.levels))])
+            df = df.withColumns({name: made.select("words").scalar() for name, made in zip(names, self.levels)})
+            verdict = F.coalesce(F.exists(keys, lambda x: self._walk(x, list(map(F.col, names)))), F.lit(False))
+            return df.withColumn(out, verdict).drop(*names)
         salts = 16
         packed = reduce(lambda a, b: a.join(b, "shard", "full"), [made.withColumnRenamed("words", f"_l{k}") for k, made in enumerate(self.levels)])
         packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = df.withColumn("_row", F.monotonically_increasing_id())
-        rows = stage(rows, "url-rows")
-        each = rows.select("_row", F.explode(keys).alias("_key")).withColumns({"shard": F.pmod(F.xxhash64("_key", F.lit(-1)), F.lit(self.shards)).cast("int"), "_salt": F.pmod("_row", F.lit(salts)).cast("int")})
-        hit = each.join(packed, ["shard", "_salt"]).where(self._walk(F.col("_key"), [F.coalesce(f"_l{k}", none) for k in range(len(self.levels))])).select("_row").distinct().withColumn(out, F.lit(True))
-        return rows.join(hit, "_row", "left").withColumn(out, F.coalesce(out, F.lit(False))).drop("_row")
+        (row,) = fresh(df, "row")
+        rows = stage(df.withColumn(row, F.monotonically_increasing_id()), "url-rows")
+        each = rows.select(row, F.explode(keys).alias("_key")).withColumns({"shard": F.pmod(F.xxhash64("_key", F.lit(-1)), F.lit(self.shards)).cast("int"), "_salt": F.pmod(row, F.lit(salts)).cast("int")})
+        hit = each.join(packed, ["shard", "_salt"]).where(self._walk(F.col("_key"), [F.coalesce(f"_l{k}", none) for k in range(len(self.levels))])).select(row).distinct().withColumn(out, F.lit(True))
+        return rows.join(hit, row, "left").withColumn(out, F.coalesce(out, F.lit(False))).drop(row)
 
     @staticmethod
     def _walk(key: Column, levels: list[Column]) -> Column:
@@ -138,16 +143,19 @@ class Cascade:
 
 def filter_urls(pages: DataFrame, blocked: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     """Adds host, path, rule and verdict to ``pages``; blocked(key): domains."""
-    df = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).withColumn("_keys", domains(F.col("host")))
+    keys, hit = fresh(pages, "keys", "listed")
+    df = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).withColumn(keys, domains(F.col("host")))
     listed = blocked.select(F.translate("key", UPPER, LOWER).alias("key"))
-    judged = Cascade(df.select(F.explode("_keys").alias("key")), listed).flag(df, "_keys", "_listed")
+    judged = Cascade(df.select(F.explode(keys).alias("key")), listed).flag(df, keys, hit)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("_listed"), "block").otherwise("allow"))}).drop("_keys", "_listed")
+    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col(hit), "block").otherwise("allow"))}).drop(keys, hit)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocked = spark.createDataFrame([(k,) for k in BLOCKED], "key string")
-    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), blocked).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = pages.select(host_of(F.col("url")).alias("key")).distinct()
+    blocked = spark.createDataFrame([(k,) for k in BLOCKED], "key string").union(hosts.where((F.col("key") != "") & F.md5("key").startswith(LISTED_MD5)))
+    return filter_urls(pages, blocked).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP7_SQL = r"""
@@ -166,6 +174,6 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN list_bool_or(list_transform(%LIST%, lambda b: host = b OR ends_with(host, '.' || b))) THEN 'block' ELSE 'allow' END AS verdict
-FROM r
+  WHEN list_has_any(list_transform(generate_series(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')), b) THEN 'block' ELSE 'allow' END AS verdict
+FROM r, (SELECT list_concat(%LIST%, coalesce(list(DISTINCT host) FILTER (host <> '' AND md5(host) LIKE '0%'), [])) AS b FROM u)
 """.replace("%LIST%", repr(list(BLOCKED)))
