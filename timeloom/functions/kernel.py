@@ -24,7 +24,7 @@ def lcs(a: list, b: list) -> int:
 
 
 def balanced(text: str) -> list[str]:
-    """All ``{...}`` with matching braces, inner ones too, in the order in which they end; braces in JSON strings do not count. An opening brace without an end is passed over."""
+    """All ``{...}`` with matching braces, inner ones too, in the order in which they begin; braces in JSON strings do not count. An opening brace without an end is passed over."""
     out, opened, quoted, escaped = [], [], False, False
     for i, c in enumerate(text):
         if quoted:
@@ -34,8 +34,9 @@ def balanced(text: str) -> list[str]:
         elif c == "{":
             opened.append(i)
         elif c == "}" and opened:
-            out.append(text[opened.pop() : i + 1])
-    return out
+            begin = opened.pop()
+            out.append((begin, text[begin : i + 1]))
+    return [t for _, t in sorted(out)]
 
 
 def without_commas(text: str) -> str:

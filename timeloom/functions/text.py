@@ -70,8 +70,8 @@ def count_of(text: Column, part: str) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """All runs of digits, as numbers."""
-    return F.transform(F.regexp_extract_all(text, F.lit("(\\d{1,9})"), F.lit(1)), lambda x: x.cast("long"))
+    """All runs of digits, as numbers of up to 38 digits; longer ones are null."""
+    return F.transform(F.regexp_extract_all(text, F.lit("(\\d+)"), F.lit(1)), lambda x: x.try_cast("decimal(38,0)"))
 
 
 def confidence(value: Column) -> Column:
@@ -89,10 +89,11 @@ def safe_id(value: Column) -> Column:
     return F.coalesce((value == F.trim(value)) & (value != "") & ~F.regexp_like(value, F.lit("[/\\\\\\x00]")) & ~value.isin(".", ".."), F.lit(False))
 
 
-def natural_key(value: Column, width: int = 12) -> Column:
-    """A sort key under which digit runs compare as numbers."""
+def natural_key(value: Column) -> Column:
+    """A sort key under which digit runs compare as numbers, of any length: each is led by its number of digits."""
     parts = F.regexp_extract_all(value, F.lit("(\\d+|\\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(F.regexp_like(p, F.lit("^\\d")), F.lpad(F.regexp_replace(p, "^0+(?=\\d)", ""), width, "0")).otherwise(F.lower(p))), "")
+    digits = lambda p: F.regexp_replace(p, "^0+(?=\\d)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(F.regexp_like(p, F.lit("^\\d")), F.concat(F.format_string("%08d", F.length(digits(p))), digits(p))).otherwise(F.lower(p))), "")
 
 
 def pause_seconds(text: Column, default: float) -> Column:
@@ -107,16 +108,10 @@ def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
 
 
-def truncated(text: Column) -> Column:
-    """Ends in the middle: no closing mark, or an open bracket or quote."""
-    t = strip(text)
-    open_bracket = F.length(F.regexp_replace(t, "[^(\\[{（「『]", "")) > F.length(F.regexp_replace(t, "[^)\\]}）」』]", ""))
-    return (t != "") & (~F.regexp_like(t, F.lit("[.!?。！？…)\\]}」』\"']$")) | open_bracket)
-
-
-def kana_count(text: Column) -> Column:
-    """Beats of kana: small vowels and glides do not count by themselves, long marks and stops do."""
-    return F.length(F.regexp_replace(F.regexp_replace(text, "[^\\u3041-\\u3096\\u30A1-\\u30FA\\u30FC]", ""), "[ぁぃぅぇぉゃゅょゎァィゥェォャュョヮ]", ""))
+def pronunciation_count(text: Column) -> Column:
+    """Beats of a Japanese text: small kana none, other kana, stops, long marks, letters and digits one, ideographs two."""
+    spoken = F.length(F.regexp_replace(F.regexp_replace(text, "[^\\p{L}\\p{N}ー]", ""), "[ぁぃぅぇぉゃゅょゎァィゥェォャュョヮ]", ""))
+    return spoken + F.length(F.regexp_replace(text, "[^㐀-䶿一-鿿豈-﫿]", ""))
 
 
 def safe_name(value: Column) -> Column:

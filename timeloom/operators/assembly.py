@@ -23,10 +23,12 @@ LEAST_SECONDS = 0.05
 
 def valid_chunks(df: DataFrame, duration: Column, sparse_longest: float | None = 30.0, least_density: float = 0.5) -> DataFrame:
     """Texts stripped and times within 0 and the duration (null: open); rows without text, without length, or long with hardly any text go. ``sparse_longest`` null keeps the last."""
+    known = F.col("_known")
+    df = df.withColumn("_known", F.col("start").isNotNull() & F.col("end").isNotNull())
     start = F.greatest(F.lit(0.0), F.col("start").cast("double"))
     end = F.least(F.greatest(start, F.col("end").cast("double")), duration)
     out = df.withColumns({"start": start, "end": end, "text": strip(F.col("text"))})
-    out = out.where((F.col("text") != "") & (F.col("end") - F.col("start") > LEAST_SECONDS))
+    out = out.where(known & (F.col("text") != "") & (F.col("end") - F.col("start") > LEAST_SECONDS)).drop("_known")
     if sparse_longest is None:
         return out
     length = F.col("end") - F.col("start")

@@ -5,21 +5,32 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def pattern_hits(text: Column, patterns: list[str]) -> Column:
-    """The patterns that a text matches, in order; one that is no valid regular expression is looked for as it stands."""
-    checks = []
-    for p in patterns:
+def is_pattern(p: str) -> bool:
+    """Whether the engine that will run a pattern takes it."""
+    session = SparkSession.getActiveSession()
+    if session is None or not hasattr(session, "_jvm"):
         try:
-            re.compile(p)
-            hit = F.regexp_like(text, F.lit(p))
+            return bool(re.compile(p))
         except re.error:
-            hit = text.contains(p)
-        checks.append(F.when(hit, F.lit(p)))
-    return F.array_compact(F.array(*checks))
+            return False
+    try:
+        session._jvm.java.util.regex.Pattern.compile(p)
+        return True
+    except (IllegalArgumentException, Py4JJavaError):
+        return False
+
+
+def pattern_hits(text: Column, patterns: list[str]) -> Column:
+    """The patterns that a text matches, in order and once each; one that is no valid regular expression is looked for as it stands. Blank ones are left out."""
+    names = list(dict.fromkeys(p.strip() for p in patterns if p.strip()))
+    checks = [F.when(F.regexp_like(text, F.lit(p)) if is_pattern(p) else text.contains(p), F.lit(p)) for p in names]
+    return F.array_compact(F.array(*checks)) if checks else F.slice(F.array(F.lit("")), 1, 0)
 
 
 def classify(text: Column, markers: list[tuple[str, tuple[str, ...]]]) -> Column:

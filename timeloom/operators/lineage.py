@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timeloom.operators.reasons import reasons
+from timeloom.sources.scratch import settled
 
 
 def stale_reasons(pairs: list[tuple[str, Column, Column]]) -> Column:
@@ -36,15 +37,28 @@ def signature(issues: Column | str) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.array_compact(issues))), "|")
 
 
-def follow(edges: DataFrame, source: str, target: str, most_steps: int = 64) -> DataFrame:
-    """Every source with the end of its chain of edges (one a source), by doubling. On a cycle the walk ends after ``most_steps`` steps or more."""
-    at = edges.select(F.col(source).alias("s"), F.col(target).alias("t"))
-    steps = 1
-    while steps < most_steps:
+def ends(at: DataFrame) -> DataFrame:
+    """(s, t) doubled until no chain goes on: as many rounds as the logarithm of the longest chain. On cycles it would not end, so it stops after those that all rows could need."""
+    rounds = max(1, at.count().bit_length())
+    for _ in range(rounds + 1):
         nxt = at.select(F.col("s").alias("s2"), F.col("t").alias("t2"))
-        at = at.join(nxt, (F.col("t") == F.col("s2")) & (F.col("s") != F.col("t")), "left").select("s", F.coalesce("t2", "t").alias("t"))
-        steps *= 2
-    return at.select(F.col("s").alias(source), F.col("t").alias(target))
+        met = at.join(nxt, (F.col("t") == F.col("s2")) & (F.col("s") != F.col("t")), "left")
+        at = settled(met.select("s", F.coalesce("t2", "t").alias("t"), (F.col("t2").isNotNull() & (F.col("t2") != F.col("t"))).alias("moved")), "follow")
+        if not at.where("moved").limit(1).count():
+            break
+        at = at.select("s", "t")
+    return at.select("s", "t")
+
+
+def follow(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """Every source with the end of its chain of edges (one a source), however long. A chain that runs into a cycle ends where it enters it; a node of a cycle stays itself."""
+    at = settled(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null"), "edges")
+    done = ends(at)
+    # what is reached by so many steps and still goes on lies on a cycle
+    on_cycle = settled(done.select(F.col("t").alias("c")).distinct().join(at.where("s <> t").select(F.col("s").alias("c")), "c", "left_semi"), "cycles")
+    if on_cycle.limit(1).count():
+        done = ends(at.join(on_cycle, F.col("s") == F.col("c"), "left").select("s", F.when(F.col("c").isNotNull(), F.col("s")).otherwise(F.col("t")).alias("t")))
+    return done.select(F.col("s").alias(source), F.col("t").alias(target))
 
 
 def latest(df: DataFrame, by: list[str], order: Column, *values: str) -> DataFrame:

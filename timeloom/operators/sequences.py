@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,24 +47,29 @@ def flag_pairs(df: DataFrame, keys: list[str], order: list[str], test: Callable[
 def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, out: str = "grp") -> DataFrame:
     """Adds ``out``: group numbers by an ordered fold within each key. step(first row of the group, last row, size, row) says whether the row joins.
 
-    For rules that look at the group's beginning, which no lag can see. One key is one task: keys are projects of bounded size.
+    For rules that look at the group's beginning, which no lag can see. Rows stream through sorted by key and order, and only a group's first and last row are held, so a key of any size
+    fits; one key is one task. A null key is a key of its own.
     """
-    fields = df.schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` bigint"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        number, first, last, size, found = -1, None, None, 0, []
-        for row in pdf.itertuples(index=False):
-            if first is not None and step(first, last, size, row):
-                size += 1
-            else:
-                number, first, size = number + 1, row, 1
-            last = row
-            found.append(number)
-        return pdf.assign(**{out: found})
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` bigint"
+    places = [df.columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, number, first, last, size = object(), -1, None, None, 0
+        for pdf in batches:
+            found = []
+            for row in pdf.itertuples(index=False):
+                mine = tuple(None if row[p] != row[p] else row[p] for p in places)
+                if mine != key:
+                    key, number, first, size = mine, 0, row, 1
+                elif step(first, last, size, row):
+                    size += 1
+                else:
+                    number, first, size = number + 1, row, 1
+                last = row
+                found.append(number)
+            yield pdf.assign(**{out: found})
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def span_groups(df: DataFrame, keys: list[str], order: list[str], least: float, gap: float) -> DataFrame:

@@ -22,11 +22,11 @@ def signal_levels(spark, sf):
 
 
 @query("frame_silence", f"""WITH {SAMPLES}, f AS (SELECT vec_id, pos // 8 AS frame, sqrt(avg(x * x)) AS rms FROM s GROUP BY ALL), a AS (SELECT *, {DB.format('rms')} > -18.5 AS active FROM f),
-g AS (SELECT vec_id, count(*) AS n_frames, min(frame) FILTER (active) AS a, max(frame) FILTER (active) AS b, max(frame) AS last, avg(CASE WHEN active THEN 1 ELSE 0 END) AS active_ratio FROM a GROUP BY 1)
-SELECT vec_id, n_frames, coalesce(a, last + 1) AS leading, coalesce(last - b, 0) AS trailing, round(active_ratio, 6) AS active_ratio FROM g""")
+g AS (SELECT vec_id, count(*) AS n_frames, min(frame) FILTER (active) AS a, max(frame) FILTER (active) AS b, max(frame) AS last, avg(CASE WHEN active THEN 1 ELSE 0 END) AS active_ratio, quantile_cont(rms, 0.5) FILTER (active) AS loud, quantile_cont(rms, 0.5) FILTER (NOT active) AS quiet FROM a GROUP BY 1)
+SELECT vec_id, round({DB.format('coalesce(loud, 0)')} - {DB.format('coalesce(quiet, 0)')}, 4) AS snr_db, n_frames, coalesce(a, last + 1) AS leading, coalesce(last - b, 0) AS trailing, round(active_ratio, 6) AS active_ratio FROM g""")
 def frame_silence(spark, sf):
     got = frames.silence(frames.to_frames(samples(spark, sf), "vec_id", "pos", "x", 8), "vec_id", -18.5)
-    return got.select("vec_id", "n_frames", "leading", "trailing", F.round("active_ratio", 6).alias("active_ratio"))
+    return got.select("vec_id", F.round("snr_db", 4).alias("snr_db"), "n_frames", "leading", "trailing", F.round("active_ratio", 6).alias("active_ratio"))
 
 
 @query("stereo_measures", f"""WITH {SAMPLES}, p AS (SELECT vec_id, pos // 2 AS k, max(CASE WHEN pos % 2 = 0 THEN x END) AS l, max(CASE WHEN pos % 2 = 1 THEN x END) AS r FROM s GROUP BY ALL),

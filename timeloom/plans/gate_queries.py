@@ -45,9 +45,6 @@ def retry_speeds(spark, sf):
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", speed.alias("speed"), numeric.char_budget(q, F.lit(None).cast("int")).alias("chars"))
 
 
-@query("rewritten_text", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[!?]+', '.', 'g'), ' +', ' ', 'g'), '[|#*$%&]+', '', 'g')) AS text_md5, text <> '' AND NOT regexp_matches(regexp_replace(text, '[\\s　]+$', ''), '[.!?)]$') AS open_end FROM documents")
+@query("rewritten_text", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[!?]+', '.', 'g'), ' +', ' ', 'g'), '[|#*$%&]+', '', 'g')) AS text_md5 FROM documents")
 def rewritten_text(spark, sf):
-    t = F.col("text")
-    rules = [("[!?]+", "."), (" +", " "), ("[|#*$%&]+", "")]
-    open_end = (t != "") & ~F.regexp_like(text.strip(t), F.lit("[.!?)]$"))
-    return load(spark, sf, "documents").select("doc_id", F.md5(text.rewrite(t, rules)).alias("text_md5"), open_end.alias("open_end"))
+    return load(spark, sf, "documents").select("doc_id", F.md5(text.rewrite(F.col("text"), [("[!?]+", "."), (" +", " "), ("[|#*$%&]+", "")])).alias("text_md5"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from timeloom.functions import numeric, text
-from timeloom.operators import aggregates, intervals, lineage, reasons, selection, vectors
+from timeloom.operators import containment, aggregates, intervals, lineage, reasons, selection, vectors
 from timeloom.plans.catalog import query
 from timeloom.sources.tables import load
 
@@ -113,12 +113,11 @@ def script_ratio_gate(spark, sf):
 g AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM c), r AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, c, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(longest, 0) AS longest, coalesce(longest, 0) >= 3 AND (coalesce(longest, 0) >= 0.55 * length(text) OR length(text) - coalesce(longest, 0) <= 16) AS dominant FROM documents d LEFT JOIN r USING (doc_id)""")
 def char_run_filter(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", text.longest_run(F.col("text")).alias("longest"), F.length("text").alias("n"))
-    dominant = (F.col("longest") >= 3) & ((F.col("longest") >= 0.55 * F.col("n")) | (F.col("n") - F.col("longest") <= 16))
-    return d.select("doc_id", F.col("longest").cast("long").alias("longest"), dominant.alias("dominant"))
+    d = load(spark, sf, "documents").select("doc_id", text.longest_run(F.col("text")).alias("longest"), text.dominant_run(F.col("text"), 3).alias("dominant"))
+    return d.select("doc_id", F.col("longest").cast("long").alias("longest"), "dominant")
 
 
-@query("runaway_numeric_filter", """WITH n AS (SELECT page_id, list_transform(regexp_extract_all(url || ' ' || html, '[0-9]{1,9}'), lambda x: x::BIGINT) AS v FROM pages)
+@query("runaway_numeric_filter", """WITH n AS (SELECT page_id, list_transform(regexp_extract_all(url || ' ' || html, '[0-9]+'), lambda x: x::HUGEINT) AS v FROM pages)
 SELECT page_id, len(v) AS n_values, coalesce(list_max(list_transform(list_distinct(v), lambda x: len(list_filter(v, lambda y: y = x)))), 0) AS most_repeated,
 len(v) >= 6 AND coalesce(list_max(list_transform(list_distinct(v), lambda x: len(list_filter(v, lambda y: y = x)))), 0) >= 4 AS runaway FROM n""")
 def runaway_numeric_filter(spark, sf):
@@ -153,13 +152,7 @@ def guarded_rule_replace(spark, sf):
 
 @query("contamination_check", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination_check(spark, sf):
-    """Candidates by an equi-join on the item's first four words, then containment."""
-    gram = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3))
-    b = load(spark, sf, "benchmark").withColumn("w", F.split("text", "\\s+")).select("item_id", F.col("text").alias("item"), gram(F.col("w"), F.lit(0)).alias("k"))
-    d = load(spark, sf, "documents").select("doc_id", "text").withColumn("w", F.split("text", "\\s+")).where(F.size("w") >= 4)
-    keys = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: gram(F.col("w"), i)))).alias("k"))
-    met = keys.join(b.select("k", "item_id", "item"), "k").select("doc_id", "item_id", "item")
-    return met.join(d.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    return containment.contained(load(spark, sf, "documents"), "doc_id", load(spark, sf, "benchmark"), "item_id")
 
 
 @query("text_measures", """SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS speech_chars, length(regexp_replace(text, '[\\s　、。,.，．!！?？]', '', 'g')) AS compact_chars, coalesce(list_max(list_transform(regexp_split_to_array(text, '[,.;]'), lambda x: length(x))), 0) > 200 AS long_clause FROM documents""")
@@ -327,7 +320,7 @@ def mapped_keys(spark, sf):
     return load(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
 
 
-@query("natural_order", "SELECT page_id, url SIMILAR TO 'https?://[^/]*/.*' AS has_path, lower(regexp_extract(url, '([0-9]+)', 1)) AS first_number FROM pages")
+@query("natural_order", """WITH u AS (SELECT page_id, url, regexp_extract_all(url, '[0-9]+|[^0-9]+') AS p FROM pages WHERE url IS NOT NULL), k AS (SELECT page_id, array_to_string(list_transform(p, lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(length(regexp_replace(x, '^0+([0-9])', '\\1'))::VARCHAR, 8, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE lower(x) END), '') AS k FROM u)
+SELECT page_id, md5(k) AS key_md5 FROM k""")
 def natural_order(spark, sf):
-    u = F.col("url")
-    return load(spark, sf, "pages").select("page_id", F.regexp_like(u, F.lit("^https?://[^/]*/.*$")).alias("has_path"), F.regexp_extract(u, "([0-9]+)", 1).alias("first_number"))
+    return load(spark, sf, "pages").where("url is not null").select("page_id", F.md5(text.natural_key(F.col("url"))).alias("key_md5"))

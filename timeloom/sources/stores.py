@@ -260,6 +260,15 @@ def write_catalog(spark: SparkSession, path: str, entries: dict[str, dict]) -> N
     write_json(spark, path, {"speakers": entries})
 
 
+def read_catalog(spark: SparkSession, path: str, entry: str) -> DataFrame:
+    """A map of speakers as rows: speaker and the fields of ``entry``, a schema. A document that is missing or unreadable gives no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"speaker string, {entry}")
+    fields = spark.createDataFrame([], entry).schema.simpleString()
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"speakers map<string,{fields}>").alias("d"))
+    return raw.select(F.explode("d.speakers").alias("speaker", "e")).select("speaker", "e.*")
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """The sha-256 of each file below a path, read as a stream of rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

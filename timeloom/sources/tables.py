@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timeloom.functions.text import natural_key
+
 SCHEMA_VERSION = 1
 WORD = "struct<start: double, end: double, text: string, confidence: double>"
 SEGMENT = "struct<id: string, start: double, end: double, duration: double, speaker_id: string, status: string, text: string, analysis: string>"
@@ -43,14 +47,20 @@ def read_loose_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
-def list_files(spark: SparkSession, path: str, extensions: list[str], excluded: list[str] = ()) -> DataFrame:
-    """Files below a folder by extension; hidden ones and those with an excluded part in their path are out. Contents are not read."""
+def list_files(spark: SparkSession, path: str, extensions: list[str], excluded: list[str] = (), included: list[str] = (), limit: int | None = None) -> DataFrame:
+    """Files below a folder by extension; hidden ones and those with an excluded part in their path, or without any included one, are out. Contents are not read.
+
+    With a limit the first in natural order (digit runs as numbers) are given.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
     name = F.element_at(F.split("path", "/"), -1)
     good = F.regexp_like(F.lower(name), F.lit("\\.(" + "|".join(extensions) + ")$")) & ~name.startswith(".")
     for part in excluded:
         good = good & ~F.lower("path").contains(part.lower())
-    return df.where(good)
+    if included:
+        good = good & reduce(lambda a, b: a | b, [F.lower("path").contains(part.lower()) for part in included])
+    found = df.where(good)
+    return found if limit is None else found.orderBy(natural_key(F.col("path"))).limit(limit)
 
 
 def write_candidates(df: DataFrame, path: str) -> None:
