@@ -202,6 +202,7 @@ class Block:
                 np.add.at(kept, self.group_context[here], s)
                 np.add.at(arcs, self.group_context[here], m)
             c = self.levels[-1].count
+            kept = np.where(arcs > 0, c, 0) if least == 1 else kept  # every arc of a state is kept, so they make up its count
             self.left.append((c - kept + DISCOUNT * arcs) / np.maximum(c, 1))
             level.keep(least)
             self.levels.append(level)
@@ -274,8 +275,8 @@ def add_words(pid: int, blocks: list[int], data: list[bytes], parts: int) -> Ite
         at += len(w)
 
 
-def add_longer(kind: int, pid: int, blocks: list[int], data: list[bytes], least: int) -> Iterator[tuple]:
-    """Counts of longer sequences over all blocks, their numbers, and the sums and numbers of the arcs of each state."""
+def add_longer(kind: int, pid: int, blocks: list[int], data: list[bytes], least: int, last: bool) -> Iterator[tuple]:
+    """Counts of longer sequences over all blocks, their numbers (but for the last length), and the sums (if some arcs are cut) and numbers of the arcs of each state."""
     asked = [unpack(x) for x in data]
     gid = np.concatenate([np.cumsum(x[0].view(np.int64) if x[0].dtype.itemsize == 8 else signed(x[0])) for x in asked])
     sub, size, word, n = (np.concatenate([signed(x[k]) for x in asked]) for k in range(1, 5))
@@ -287,7 +288,8 @@ def add_longer(kind: int, pid: int, blocks: list[int], data: list[bytes], least:
     kept = c >= least
     index = np.cumsum(kept) - kept
     own = code // (int(word.max(initial=0)) + 1)
-    s, m = np.bincount(own, c * kept, groups).astype(np.int64), np.bincount(own, kept, groups).astype(np.int64)
+    s, m = np.bincount(own, c * kept, groups).astype(np.int64) if least > 1 else np.zeros(groups, np.int64), np.bincount(own, kept, groups).astype(np.int64)
+    index = np.zeros_like(index) if last else index
     at = where = 0
     for block, x in zip(blocks, asked):
         g, e = group[at : at + len(x[2])], number[where : where + len(x[3])]
@@ -311,7 +313,7 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, least: int =
         kind, pid = rows.column("kind")[0].as_py(), rows.column("pid")[0].as_py()
         asked = sorted(zip(rows.column("block").to_pylist(), rows.column("data").to_pylist()))
         blocks, data = [b for b, _ in asked], [x for _, x in asked]
-        return rows_of(list(add_words(pid, blocks, data, parts) if kind == 1 else add_longer(kind, pid, blocks, data, least)))
+        return rows_of(list(add_words(pid, blocks, data, parts) if kind == 1 else add_longer(kind, pid, blocks, data, least, kind == order)))
 
     for k in range(order):
         asked = reduce(DataFrame.unionByName, known).groupBy("block").applyInArrow(asking(k, total, kinds), ROWS) if k else read.where("kind = 1")
