@@ -120,6 +120,53 @@ def test_classifier_on_odd_rows(spark, odd, none):
     assert quality_classifier.classify(none, labels).count() == 0
 
 
+def test_fit_is_plain_ridge_on_fourier_features(spark, sf):
+    """The normal equations summed by partition give the coefficients that numpy gives on all rows at once; features approximate the Gaussian kernel."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = [(r.doc_id, r.quality, r.doc_id % 5 == 1) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in docs]
+    known = spark.createDataFrame(labels, "doc_id long, y int, calibrate boolean")
+    stats = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3).mapInArrow(quality_classifier.statistics_rows, "doc_id long, stats array<double>")
+    model = quality_classifier.fit(stats, known)
+    x = np.array([quality_classifier.statistics(docs[d]) for d, _, _ in labels])
+    plain = quality_classifier.Model(x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0))
+    some = np.array([not c for _, _, c in labels])
+    z, y = plain.features(x[some]), np.array([float(q) for _, q, _ in labels])
+    beta = np.linalg.solve(z.T @ z + quality_classifier.RIDGE * some.sum() * np.eye(z.shape[1]), z.T @ y[some])
+    assert np.abs(model.beta - beta).max() < 1e-6 * np.abs(beta).max()
+    plain.beta = beta
+    assert (np.abs(model.raw(x) - plain.raw(x)) <= 1).all()
+    rest = ~some
+    bins = np.unique(plain.raw(x[rest]))
+    sums = [y[rest][plain.raw(x[rest]) == b].sum() for b in bins]
+    _, values = quality_classifier.isotonic(bins, np.array(sums), np.array([(plain.raw(x[rest]) == b).sum() for b in bins], float))
+    assert np.abs(np.interp(plain.raw(x), bins, values) - model.score(x)).max() < 0.05
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 50, x.shape[1]))
+    wide = quality_classifier.Model(np.zeros(x.shape[1]), np.ones(x.shape[1]), features=20_000)
+    got = (wide.features(a)[:, :-1] * wide.features(b)[:, :-1]).sum(1)
+    assert np.abs(got - np.exp(-((a - b) ** 2).sum(1) / (2 * quality_classifier.WIDTH**2))).max() < 0.05
+
+
+def test_language_is_that_of_plain_counting(spark, sf):
+    """Sets of n-grams in plain Python, without filters: the same language wherever the two best differ by more than the filters' error."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    learned = [r for r in rows if r.doc_id % 3]
+    counts = {}
+    for r in learned:
+        counts.setdefault(r.lang, Counter()).update(language_id.grams(language_id.letters(r.text or "")).tolist())
+    # texts are joined before they are counted, so n-grams that span two are counted too; they are of spaces and letters at a text's ends
+    members = {lang: {g for g, n in c.items() if n >= 2 * language_id.LEAST * sum(c.values())} for lang, c in counts.items()}
+    model = language_id.learn(spark.createDataFrame([(r.lang, r.text) for r in learned], "lang string, text string").repartition(3))
+    same = total = 0
+    for r in rows:
+        g = language_id.grams(language_id.letters(r.text or "")).tolist()
+        hits = sorted(((sum(x in m for x in g), lang) for lang, m in members.items()), reverse=True)
+        if language_id.LETTER.search(r.text or "") and hits[0][0] > 1.2 * hits[1][0] + 5:
+            total += 1
+            same += model.judge(r.text)[0] == hits[0][1]
+    assert total > 100 and same == total
+
+
 def test_language_held_out(spark):
     folder = "/root/testdata/sf0.01"
     got = QUERIES["op6_language_id"](spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -69,3 +69,19 @@ def test_mix_keeps_all(stages):
 def test_run_is_the_stages(spark, sf, stages):
     key = lambda df: sorted((r.doc_id, r.epoch, r.block, r.position) for r in df.collect())
     assert key(corpus_pipeline.run(spark, sf)) == key(stages[4])
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "word"), (None, "one line of plain English words that nobody has written before"), (None, "one line of plain English words that nobody has written before"), (5, "the same id and another text about the weather in the north of the country"), (5, "the same id but this time a text about the harvest in the south of it"), (6, "tie " * 30_000)]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, sf, empty):
+    """Null, empty and long texts, null and repeated ids, an empty table, more columns under names of helpers."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "if(doc_id > 3, 's', null) as source", "cast(length(text) as long) as n_chars", "'clash' as _row", "'clash' as _x", "'clash' as _s")
+    docs = docs.limit(0) if empty else docs
+    for name, function in corpus_pipeline.STAGES:
+        made = corpus_pipeline.stage(function(spark, docs, sf), f"odd-{name}")
+        assert set(docs.columns) <= set(made.columns)
+        assert empty or {r._row for r in made.collect()} == {"clash"}
+        docs = made if name == "mixing" else made.select(docs.columns)
+    assert docs.count() == 0 if empty else {r.doc_id for r in docs.collect()} >= {5, None}
