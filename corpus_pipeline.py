@@ -2,6 +2,9 @@
 
 Stage functions take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of ``documents``. Tables beside ``docs`` are read from
 ``sf_dir``. ``run`` applies all of them to the table documents.
+
+Defined cases, in every stage: a null text counts as empty; rows are told apart by doc_id and text, so null and repeated ids do no harm, and rows that are equal in both are treated
+alike; long texts are read whole; of ties the smaller doc_id (null last) stays; an empty table gives an empty table; columns beyond those of documents pass through unchanged.
 """
 
 from __future__ import annotations
