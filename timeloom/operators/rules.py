@@ -376,3 +376,27 @@ def style_response(json: Column) -> Column:
         F.coalesce(text.confidence(got["confidence"]), F.lit(0.0)).alias("confidence"),
         flag(got["voice_training"]["eligible"], True).alias("eligible"),
     )
+
+
+def pronunciation_check(expected: Column, transcript: Column, passes: float = 0.82, warns: float = 0.62, most_ratio: float = 1.8, most_extra: int = 1) -> Column:
+    """struct<coverage, gate, issues> of a transcript against what was to be said, by Hangul syllables: how much of it is heard in order, and whether more is heard than that."""
+    from timeloom.functions.kernel import lcs_length
+    from timeloom.functions.spoken import hangul_units
+
+    def judged(e: Column, o: Column, matched: Column) -> Column:
+        n, m = F.length(e), F.length(o)
+        coverage = F.try_divide(matched, n)
+        long = (m - n > most_extra) | (F.try_divide(m, n) > most_ratio)
+        suffix = (n == 1) & o.startswith(e) & (m > n)
+        overrun = (m > n) & F.when(n == 1, o.startswith(e)).otherwise(o.startswith(F.concat(e, e)) | (F.substring(F.repeat(e, F.floor(F.try_divide(m, n)).cast("int") + 2), F.lit(1), m) == o))
+        enough = coverage >= warns
+        gate = F.when(n == 0, "unavailable").when(m == 0, "fail").when((long | suffix) & enough, "fail").when(coverage >= passes, "pass").when(enough, "warn").otherwise("fail")
+        loud = F.array_compact(F.array(F.when(long, "observed_pronunciation_too_long"), F.when(long & overrun, "repetition_overrun"), F.when(suffix, "suffix_contamination")))
+        one = lambda name: F.array(F.lit(name))
+        issues = F.when(n == 0, one("empty_expected_text")).when(m == 0, one("empty_transcript")).when((long | suffix) & enough, loud).when(coverage >= passes, F.slice(one(""), 1, 0)).when(enough, one("low_pronunciation_coverage")).otherwise(one("pronunciation_coverage_below_threshold"))
+        return F.struct(F.when(n == 0, 1.0).when(m == 0, 0.0).otherwise(coverage).alias("coverage"), gate.alias("gate"), issues.alias("issues"))
+
+    e, o = hangul_units(expected), hangul_units(transcript)
+    # short numerals are often heard as a like-sounding syllable
+    alias = F.when((e == "일") & (o == "예"), "일").when((e == "육") & o.isin("유", "류"), "육").otherwise(o)
+    return judged(e, alias, lcs_length(F.split(e, ""), F.split(alias, "")))

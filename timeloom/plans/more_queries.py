@@ -157,7 +157,11 @@ def acceptance_funnel(spark, sf):
     return rows.groupBy("lang").agg(F.count("*").alias("n"), n((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("accepted"), n(F.col("quality") == 0).alias("poor"), n(F.col("toxic") == 1).alias("toxic"), n(F.col("quality").isNull()).alias("unlabelled"))
 
 
-@query("repeated_ngram_share")
+@query("repeated_ngram_share", """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''),
+e AS (SELECT doc_id, k, i, CASE k WHEN 2 THEN a2 WHEN 3 THEN a3 WHEN 4 THEN a4 ELSE a5 END AS same FROM (SELECT doc_id, i, ch = lag(ch, 2) OVER w AS a2, ch = lag(ch, 3) OVER w AS a3, ch = lag(ch, 4) OVER w AS a4, ch = lag(ch, 5) OVER w AS a5 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)), (VALUES (2), (3), (4), (5)) AS t(k)),
+g AS (SELECT doc_id, k, i - row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS g FROM e WHERE same), r AS (SELECT doc_id, k, count(*) AS run FROM g GROUP BY doc_id, k, g),
+b AS (SELECT doc_id, max((run + k) // k * k) AS best FROM r WHERE (run + k) // k >= 8 GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text <> '' THEN coalesce(best, 0) / length(d.text) ELSE 0 END::DOUBLE AS share FROM documents d LEFT JOIN b USING (doc_id)""")
 def repeated_ngram_share(spark, sf):
     return load(spark, sf, "documents").select("doc_id", kernel.repeated_ngram_share("text").alias("share"))
 
@@ -176,13 +180,17 @@ def absorbed_segments(spark, sf):
     return sequences.absorb_short(timed(spark, sf).select("user_id", "start", "end"), ["user_id"], 20 * 60_000_000, 6 * HOUR, DAY)
 
 
-@query("picked_spans")
+@query("picked_spans", """WITH r AS (SELECT user_id, event_id AS chunk_id, epoch_us(ts) AS start, epoch_us(ts) + 12 * 3600000000 AS "end", (event_id % 17)::DOUBLE AS score FROM events),
+a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, chunk_id) = 1),
+b AS (SELECT r.* FROM r JOIN a USING (user_id) WHERE r."end" <= a.start OR r.start >= a."end" QUALIFY row_number() OVER (PARTITION BY r.user_id ORDER BY r.score DESC, r.chunk_id) = 1),
+c AS (SELECT r.* FROM r JOIN a USING (user_id) JOIN b USING (user_id) WHERE (r."end" <= a.start OR r.start >= a."end") AND (r."end" <= b.start OR r.start >= b."end") QUALIFY row_number() OVER (PARTITION BY r.user_id ORDER BY r.score DESC, r.chunk_id) = 1)
+SELECT user_id, chunk_id, start, "end", score FROM a UNION ALL SELECT user_id, chunk_id, start, "end", score FROM b UNION ALL SELECT user_id, chunk_id, start, "end", score FROM c""")
 def picked_spans(spark, sf):
     rows = timed(spark, sf).withColumn("end", F.col("start") + 12 * HOUR).withColumn("score", (F.col("chunk_id") % 17).cast("double"))
     return sequences.pick_apart(rows, ["user_id"], "score", "chunk_id", 3)
 
 
-@query("loose_json_objects")
+@query("loose_json_objects", "SELECT event_id, replace(props, ' ', '') AS json FROM events")
 def loose_json_objects(spark, sf):
     broken = F.concat(F.lit("answer: ```json\n"), F.regexp_replace("props", "}$", ",}"), F.lit("\n``` done"))
     return load(spark, sf, "events").select("event_id", kernel.loose_json(broken).alias("json"))

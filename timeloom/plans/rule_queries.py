@@ -72,3 +72,6 @@ def repair_targets(spark, sf):
     status = F.when(k == 0, "needs_regeneration").when(k == 1, "needs_manual_review").when(k == 2, "failed").when(k == 3, "quarantined").otherwise("ok")
     got = rules.repair_target(status, F.col("o_orderstatus") == "F", o % 2 == 0, o % 3 != 0, F.when(o % 2 == 1, True))
     return load(spark, sf, "orders").select("o_orderkey", got.alias("target"))
+
+
+cases("pronunciation_checks", lambda t: (lambda r: F.concat_ws(":", r["gate"], F.array_join(r["issues"], "+")))(rules.pronunciation_check(F.get(F.split(t, "/"), 0), F.get(F.split(t, "/"), 1))), [("안녕하세요/안녕하세요!", "pass:"), ("일/예", "pass:"), ("하나둘셋/하나둘셋하나둘셋", "fail:observed_pronunciation_too_long+repetition_overrun"), ("가나다라마바사아자차/가나다라마바사", "warn:low_pronunciation_coverage"), ("가나다라/마바", "fail:pronunciation_coverage_below_threshold"), ("abc/가", "unavailable:empty_expected_text"), ("가/", "fail:empty_transcript"), ("네/네에", "fail:observed_pronunciation_too_long+repetition_overrun+suffix_contamination")])
