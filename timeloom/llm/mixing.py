@@ -74,15 +74,13 @@ GRID, PASSES = 64, 6
 
 def measures(sources: DataFrame, alphas: list[float], target_entropy: float | None, limit: float | None, budget: float | None) -> list[tuple[float, float, float, bool]]:
     """For each exponent: the sum of powers, the least power by token, and whether it is low enough. Aggregates over the sources, however many there are."""
-    share = F.col("tokens") / F.col("total")
-    columns = []
-    for k, a in enumerate(alphas):
-        p = F.pow(share, F.lit(a))
-        columns += [F.sum(p).alias(f"z{k}"), F.sum(p * F.log(share)).alias(f"l{k}"), F.max(p / F.col("tokens")).alias(f"hi{k}"), F.min(p / F.col("tokens")).alias(f"lo{k}")]
-    r = sources.where("tokens > 0").agg(*columns).first()
+    each = sources.where("tokens > 0").select("tokens", (F.col("tokens") / F.col("total")).alias("share"), F.explode(F.lit(alphas)).alias("a"))
+    p = F.pow("share", F.col("a"))
+    sums = each.groupBy("a").agg(F.sum(p).alias("z"), F.sum(p * F.log("share")).alias("low"), F.max(p / F.col("tokens")).alias("high"), F.min(p / F.col("tokens")).alias("least"))
+    found = {r.a: r for r in sums.collect()}  # one row an exponent
     out = []
-    for k, a in enumerate(alphas):
-        z, low, high, least = r[f"z{k}"], r[f"l{k}"], r[f"hi{k}"], r[f"lo{k}"]
+    for a in alphas:
+        z, low, high, least = (found[a][k] for k in ("z", "low", "high", "least"))
         if target_entropy is not None:
             ok = math.log(z) - a * low / z <= target_entropy
         else:
