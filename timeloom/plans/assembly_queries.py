@@ -28,7 +28,7 @@ def repair_chunks(spark, sf):
     return assembly.valid_chunks(chunk_rows(spark, sf), F.lit(80.0), None).select("user_id", "event_id", F.round("start", 6).alias("start"))
 
 
-cases("split_texts", lambda t: F.array_join(assembly.split_text(t, F.lit(2)), "|"), [("hello wide world", "hello|wide world"), ("今日は。また明日", "今日は。|また明日"), ("abcdefgh", "abcd|efgh"), ("x", "x"), ("行きます行きます", "行きます|行きます"), ("よねわよ猫が居るよ", "よねわ|よ猫が居るよ")])
+cases("split_texts", lambda t: F.array_join(assembly.split_text(t, F.lit(2)), "|"), [("hello wide world", "hello|wide world"), ("今日は。また明日", "今日は。|また明日"), ("abcdefgh", "abcd|efgh"), ("x", "x"), ("行きます行きます", "行きます|行きます"), ("よねわよ猫が居るよ", "よねわよ|猫が居るよ")])
 cases("boundary_scores", lambda t: assembly.boundary_score(t, F.lit(2)).cast("string"), [("a b", "100"), ("ab。", "95"), ("です猫", "85"), ("あよ猫", "70"), ("あ猫が", "60"), ("abc", "0"), ("ab", "0")])
 cases("cut_words", lambda t: assembly.split_inside_word(F.get(F.split(t, "/"), 0), F.get(F.split(t, "/"), 1)).cast("string"), [("食/べる", "true"), ("きっ/と", "true"), ("カ/ー", "true"), ("犬/猫", "false"), ("あ/い", "false")])
 
