@@ -39,7 +39,7 @@ ORDER = 3
 LEAST = 1
 DISCOUNT = 0.5
 BLOCK_BYTES = 4 << 20
-PART_BYTES = 16 << 20
+PART_BYTES = 6 << 20
 SPLIT = 4  # a state with more than 1/SPLIT of the tokens of a part is split
 ROWS = "block long, kind int, pid int, data binary"
 STATE = 0  # kind of the rows that hold a block's documents; other kinds are lengths of sequences
@@ -282,12 +282,16 @@ def add_longer(kind: int, pid: int, blocks: list[int], data: list[bytes], least:
     sub, size, word, n = (np.concatenate([signed(x[k]) for x in asked]) for k in range(1, 5))
     _, group = np.unique(gid * (int(sub.max()) + 1) + sub, return_inverse=True)
     groups = int(group.max()) + 1
-    of = np.repeat(group, size)
-    code, number = np.unique(of * (int(word.max(initial=0)) + 1) + word, return_inverse=True)
+    width = int(word.max(initial=0)) + 1
+    word += np.repeat(group, size) * width
+    del gid, sub, size  # of the many numbers that a part holds, no more than needed
+    code, number = np.unique(word, return_inverse=True)
     c = np.bincount(number, n, len(code)).astype(np.int64)
+    del word, n
     kept = c >= least
     index = np.cumsum(kept) - kept
-    own = code // (int(word.max(initial=0)) + 1)
+    own = code // width
+    del code
     s, m = np.bincount(own, c * kept, groups).astype(np.int64) if least > 1 else np.zeros(groups, np.int64), np.bincount(own, kept, groups).astype(np.int64)
     index = np.zeros_like(index) if last else index
     at = where = 0
@@ -301,7 +305,7 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, least: int =
     """docs: doc_id, text. held_out: boolean column; the model learns from the other documents only."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    parts = max(8, -(-input_bytes(docs) // PART_BYTES))
+    parts = max(16, -(-input_bytes(docs) // PART_BYTES))
     read = stage(d.mapInArrow(read_blocks(block_bytes, parts), ROWS), "lm-blocks", by="kind").select("block", "kind", "pid", "data")
     known = [read.where(F.col("kind") == STATE)]
     total = kinds = 0
