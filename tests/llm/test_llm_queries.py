@@ -1,7 +1,9 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests_llm_util import near_classes
@@ -254,6 +256,56 @@ def test_tree_links_what_brute_force_links(seed):
     assert all((find(i) == find(j)) == (tree.find(i) == tree.find(j)) for i in range(len(sets)) for j in range(i))
 
 
+def near_sets(rng, clusters, copies, edits, tie):
+    """Clusters of near copies, with members that all sets have."""
+    sets = []
+    for _ in range(clusters):
+        base = rng.sample(range(1000, 1 << 40), 300)
+        for _ in range(copies):
+            s = list(base)
+            for at in rng.sample(range(300), rng.randrange(edits)):
+                s[at] = rng.randrange(1000, 1 << 40)
+            sets.append(np.unique(np.array([*s, *range(tie)], np.uint64)))
+    return sets
+
+
+def test_crowds_of_near_copies_are_joined_in_time():
+    """Three clusters in one world, 1,200 sets: a tree alone compares about each set with each of another cluster."""
+    rng = random.Random(5)
+    sets = near_sets(rng, 3, 400, 40, 20)
+    rng.shuffle(sets)
+    batch = pa.RecordBatch.from_pydict({"world": [1] * 1200, "lo": [0] * 1200, "hi": [0] * 1200, "node": list(range(1200)), "members": [s.tobytes() for s in sets]})
+    began = time.process_time()
+    (got,) = jaccard_join.tree_join(75)([batch])
+    assert time.process_time() - began < 12
+    others, owned = dict(zip(*(c.to_pylist() for c in got.columns))), {}
+    for k, s in enumerate(sets):
+        for g in set(s.tolist()) - set(range(20)):
+            owned.setdefault(g, []).append(k)
+    clusters = {tuple(v) for v in owned.values() if len(v) > 200}
+    assert len({others[k] for k in others}) == 3 and all(len({others[k] for k in v}) == 1 for v in clusters)
+
+
+@pytest.mark.parametrize("percent", [40, 75, 90])
+@pytest.mark.parametrize("seed", range(4))
+def test_crowds_link_what_brute_force_links(seed, percent, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CROWD", seed + 1)
+    rng, sets = random.Random(seed), []
+    for _ in range(5):
+        base = rng.sample(range(rng.choice([80, 10**9])), rng.randrange(3, 60))
+        for _ in range(rng.randrange(1, 30)):
+            s = [rng.randrange(rng.choice([80, 10**9])) if rng.random() < 0.15 else g for g in base]
+            base = s if rng.random() < 0.3 else base  # chains of copies of copies
+            sets.append(np.unique(np.array(s, np.uint64)))
+    roots, up = jaccard_join.roots_of(sets, percent), jaccard_join.Forest(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            c = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * c >= percent * (len(sets[i]) + len(sets[j]) - c):
+                up.link(i, [j])
+    assert all((up.find(i) == up.find(j)) == (roots[i] == roots[j]) for i in range(len(sets)) for j in range(i))
+
+
 def test_jaccard_on_odd_rows(odd, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(odd).collect()), key=str)
     assert (1, 0, 1) in got and (4, 1, 4) in got and got.count((5, 4, 5)) == 2 and (6, 4, 5) in got and (7, 1, 7) in got and (None, 1, None) in [(a, b, c) for a, b, c in got if a is None]

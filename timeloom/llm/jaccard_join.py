@@ -10,7 +10,10 @@ corpus; sorted by this number, rare n-grams come first, everywhere in the same o
    are tied to the n-gram itself, one edge each, so no group's pairs are written out.
 3. Connected components of what is left are small worlds of near copies. A third pass sends the sets of their nodes only, once each,
    to the task of their component (large ones are dealt over blocks, and every pair of blocks is a task).
-4. There the sets go into a prefix tree one by one. A set traverses the tree with the members it shares so far, leaving out a
+4. A world of more than ``CROWD`` sets is parted there by prefixes in an order of its own (rare in the world first), and thinned out: a center
+   is compared with all sets of its part by lists of owners, those linked with it are settled, and the triangle inequality says which
+   others can be linked with them. What is left is parted again, so a crowd of near copies costs in proportion to its members.
+   Small worlds and small parts go into a prefix tree, set by set. A set traverses the tree with the members it shares so far, leaving out a
    subtree when the longest possible remainder cannot reach the threshold, or when all of it is linked with the set already.
    At a leaf the count of common members is exact, and decides.
 
@@ -40,6 +43,7 @@ SAMPLE, OFTEN, MOST_OFTEN = 8, 6, 1 << 20
 FEW = 128  # meetings in an n-gram of so many nodes are counted by pair
 HOT = np.uint64(1 << 63)
 BLOCK_MEMBERS = 2_000_000
+CROWD = 32  # worlds of more sets are thinned out before a tree gets what is left of them
 CACHE = 400_000
 
 
@@ -318,22 +322,139 @@ class Tree:
             node, at = child, at + same
 
 
+class Forest:
+    """Links, kept as a forest."""
+
+    def __init__(self, size: int):
+        self.parent = list(range(size))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def link(self, x: int, others) -> None:
+        for y in others:
+            self.parent[self.find(y)] = self.find(x)
+
+
+class Crowd:
+    """Sets with a list of owners for each member, every set sorted anew: members that are rare among these sets come first."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent, self.size = percent, len(sets)
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.start = np.r_[0, np.cumsum(self.n)]
+        members = np.concatenate(sets)
+        order = np.argsort(members)
+        members = members[order]
+        new = np.r_[True, members[1:] != members[:-1]]
+        del members
+        count = np.diff(np.r_[np.flatnonzero(new), len(new)])
+        by_count = np.argsort(count, kind="stable")
+        self.count = count[by_count]
+        rank = np.empty(len(count), np.int32)
+        rank[by_count] = np.arange(len(count), dtype=np.int32)
+        self.ids = np.empty(len(order), np.int32)
+        self.ids[order] = rank[np.cumsum(new, dtype=np.int32) - 1]
+        del order, new, by_count, rank
+        key = self.owner() * np.int64(len(count))
+        key += self.ids
+        key.sort()
+        key %= len(count)
+        self.ids[:] = key
+        del key
+        self.owners = self.owner()[np.argsort(self.ids, kind="stable")]
+        self.first = np.r_[0, np.cumsum(self.count)]
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(self.size, dtype=np.int32), self.n)
+
+    def parts(self) -> list[np.ndarray]:
+        """Sets of different parts are not linked: their prefixes do not meet, nor do those of others between them."""
+        p = prefix_length(self.n, self.percent)
+        owner = np.repeat(np.arange(self.size, dtype=np.int32), p)
+        ids = self.ids[np.arange(len(owner)) + np.repeat(self.start[:-1] - np.cumsum(p) + p, p)]
+        order = np.argsort(ids, kind="stable")
+        ids, owner = ids[order], owner[order]
+        new = np.r_[True, ids[1:] != ids[:-1]]
+        begin, gram = np.flatnonzero(new), np.cumsum(new) - 1
+        label = np.arange(self.size)
+        while True:
+            lower = label.copy()
+            np.minimum.at(lower, owner, np.minimum.reduceat(label[owner], begin)[gram])
+            lower = lower[lower]
+            if (lower == label).all():
+                break
+            label = lower
+        order = np.argsort(label, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+
+    def common(self, x: int) -> np.ndarray:
+        """How many members each set has in common with x."""
+        ids = self.ids[self.start[x] : self.start[x + 1]]
+        lists = [self.owners[self.first[g] : self.first[g + 1]] for g in ids[self.count[ids] > 1].tolist()]
+        c = np.bincount(np.concatenate(lists), minlength=self.size) if lists else np.zeros(self.size, np.int64)
+        c[x] = self.n[x]
+        return c
+
+    def thin(self, forest: Forest, names: np.ndarray) -> np.ndarray:
+        """Link sets until half of them are settled; returns those left, which have no links to others that are still to be found.
+
+        A center is compared with all sets. Those that it is linked with are in its component, and 1 - Jaccard similarity is a metric:
+        they have no link to a set that is more than twice the allowed distance from the center. Sets in between are compared with all
+        sets too, unless they are found in the center's component before.
+        """
+        left = np.ones(self.size, bool)
+        typical = np.add.reduceat(self.count[self.ids], self.start[:-1]) / self.n
+        for x in np.argsort(-typical, kind="stable").tolist():
+            if 2 * left.sum() <= self.size:
+                break
+            if not left[x]:
+                continue
+            c = self.common(x)
+            union = self.n + self.n[x] - c
+            near = 100 * c >= self.percent * union
+            forest.link(int(names[x]), names[near].tolist())
+            left &= ~near
+            for y in np.flatnonzero(left & (100 * c >= (2 * self.percent - 100) * union)).tolist():
+                if forest.find(int(names[y])) != forest.find(int(names[x])):
+                    d = self.common(y)
+                    forest.link(int(names[y]), names[100 * d >= self.percent * (self.n + self.n[y] - d)].tolist())
+                    left[y] = False
+        return np.flatnonzero(left)
+
+
+def roots_of(sets: list[np.ndarray], percent: int) -> list[int]:
+    """For each set, the number of one in its component. Crowds are parted and thinned out until what is left goes into trees."""
+    forest, work = Forest(len(sets)), [np.arange(len(sets))]
+    while work:
+        names = work.pop()
+        if len(names) <= CROWD:
+            tree = Tree(percent)
+            for x in names.tolist():
+                tree.add(sets[x])
+            for k, x in enumerate(names.tolist()):
+                forest.link(int(names[tree.find(k)]), [x])
+            continue
+        crowd = Crowd([sets[x] for x in names.tolist()], percent)
+        parts = crowd.parts()
+        work += [names[p] for p in parts if len(p) > 1] if len(parts) > 1 else [names[crowd.thin(forest, names)]]
+    return [forest.find(x) for x in range(len(sets))]
+
+
 def tree_join(percent: int):
     """Rows sorted by group to (node, other): each node with the smallest of those it is linked with in its group."""
 
     def linked(nodes: list[int], sets: list[bytes]) -> Iterator[pa.RecordBatch]:
-        tree, names, seen = Tree(percent), [], set()
-        for node, s in sorted(zip(nodes, sets), key=lambda p: (len(p[1]), p[0])):
-            if node not in seen:
-                seen.add(node)
-                names.append(node)
-                tree.add(np.frombuffer(s, np.uint64))
+        once = dict(zip(nodes, sets))
+        names = sorted(once, key=lambda node: (len(once[node]), node))
+        roots = roots_of([np.frombuffer(once[node], np.uint64) for node in names], percent)
         least: dict[int, int] = {}
-        for x, node in enumerate(names):
-            r = tree.find(x)
+        for r, node in zip(roots, names):
             least[r] = min(least.get(r, node), node)
-        other = [least[tree.find(x)] for x in range(len(names))]
-        yield pa.RecordBatch.from_pydict({"node": pa.array(names, pa.int64()), "other": pa.array(other, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"node": pa.array(names, pa.int64()), "other": pa.array([least[r] for r in roots], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, nodes, sets = None, [], []
